@@ -380,6 +380,8 @@ class Parser:
 
     def _function(self, begin, name, name_at, paren, before, head, body, j, stack, tparams, attributes) -> bool:
         ns, cls, access = stack[-1]
+        if body is None and not self.is_(j, ";"):
+            return False
         words = [self.toks[k].text for k in before]
         scope: list[str] = []  # Box:: in front of the name
         k = len(before)
