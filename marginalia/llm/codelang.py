@@ -129,7 +129,7 @@ def literals(content: str) -> list[tuple[str, int, str]]:
     out: list[tuple[str, int, str]] = []
     last: Token | None = None
     lines: list[str] = []
-    start = 0
+    start, alone, first_column = 0, True, 0
     joined = -1
     queue = tokens(content)
     n = 0
@@ -143,12 +143,14 @@ def literals(content: str) -> list[tuple[str, int, str]]:
             continue
         if t.kind == "lc":
             gap = content[last.start + len(last.text) : t.start] if last is not None and last.kind == "lc" else None
-            own_line = not content[content.rfind("\n", 0, t.start) + 1 : t.start].strip()
-            if gap is not None and own_line and gap.count("\n") == 1 and not gap.strip():
+            line_at = content.rfind("\n", 0, t.start) + 1
+            own_line, column = not content[line_at : t.start].strip(), t.start - line_at
+            # A comment behind code goes on where the next line's begins in the same column.
+            if gap is not None and own_line and gap.count("\n") == 1 and not gap.strip() and (alone or column == first_column):
                 lines.append(t.text)
                 out[-1] = ("comment", start, "\n".join(comment_text(x) for x in lines))
             else:
-                lines, start = [t.text], t.start
+                lines, start, alone, first_column = [t.text], t.start, own_line, column
                 out.append(("comment", start, comment_text(t.text)))
         elif t.kind == "bc":
             out.append(("comment", t.start, comment_text(t.text)))
