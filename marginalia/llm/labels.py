@@ -25,19 +25,19 @@ from marginalia.llm.langtext import SENTENCE_CJK, SENTENCE_WORDS, labelled_sampl
 BITS = 16
 ORDERS = (1, 2, 3, 4)
 #: Follow-the-regularised-leader: rate, smoothing, L1 and L2 penalties, passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.01, 0.05, 2
+ALPHA, BETA, L1, L2, PASSES = 0.1, 1.0, 0.01, 0.05, 2
 #: Share of held-out labels that may still be wrong, for the calibration.
 DOUBT = 0.01
 SEGMENTS = "doc_id bigint, seg_no int, label string, text_chars int, lang string, confidence double"
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of all texts: (number of the text, bucket) for each occurrence."""
+def ngrams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed character n-grams of all texts: for each order (number of the text, in order; bucket) of every occurrence."""
     joined = "\n".join(f" {t.lower()} " for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     own = np.cumsum(code == 10).astype(np.int32)
     inner = code != 10
-    docs, buckets = [], []
+    out = []
     h = np.zeros(len(code), np.uint64)
     ok = np.ones(len(code), bool)
     for n in range(1, max(ORDERS) + 1):
@@ -47,19 +47,21 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         ok = ok[: len(code) - n + 1] & inner[n - 1 :]
         if n in ORDERS:
-            docs.append(own[: len(code) - n + 1][ok])
-            buckets.append(((h[ok] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32))
-    return (np.concatenate(docs), np.concatenate(buckets)) if docs else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+            out.append((own[: len(code) - n + 1][ok], ((h[ok] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)))
+    return out
+
+
+def totals(grams: list[tuple[np.ndarray, np.ndarray]], texts: int) -> np.ndarray:
+    """Number of n-grams of each text."""
+    return sum((np.bincount(doc, minlength=texts) for doc, _ in grams), np.zeros(texts, np.int64))
 
 
 def tfidf(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of unit length: (row pointers, buckets, values)."""
-    doc, bucket = ngrams(texts)
-    key, count = np.unique(doc.astype(np.int64) << BITS | bucket, return_counts=True)
+    """Sparse rows (row pointers, buckets, values): count times IDF over the root of the text's number of n-grams."""
+    grams = ngrams(texts)
+    key, count = np.unique(np.concatenate([d.astype(np.int64) << BITS | b for d, b in grams]), return_counts=True)
     row, col = key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
-    val = (1 + np.log(count)) * idf[col]
-    norm = np.sqrt(np.bincount(row, val * val, len(texts)))
-    val = (val / np.maximum(norm[row], 1e-9)).astype(np.float32)
+    val = (count * idf[col] / np.sqrt(np.maximum(totals(grams, len(texts)), 1))[row]).astype(np.float32)
     return np.searchsorted(row, np.arange(len(texts) + 1)), col, val
 
 
@@ -69,10 +71,21 @@ class Model:
     weights: np.ndarray  # buckets x languages
     idf: np.ndarray
     temperature: float = 1.0
+    table: np.ndarray | None = None
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        ptr, col, val = tfidf(texts, self.idf)
-        return _dot(ptr, col, val, self.weights)
+        """As the product of tfidf(texts) and the weights, but summed over occurrences, which needs no sorting."""
+        if self.table is None:
+            self.table = (self.weights * self.idf[:, None]).astype(np.float32)
+        grams = ngrams(texts)
+        out = np.zeros((len(texts), self.table.shape[1]), np.float32)
+        step = 200_000  # occurrences at a time, so that a long text doesn't need all its terms at once
+        for doc, bucket in grams:
+            for a in range(0, len(doc), step):
+                rows = doc[a : a + step]
+                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                out[rows[first]] += np.add.reduceat(self.table[bucket[a : a + step]], first)
+        return out / np.sqrt(np.maximum(totals(grams, len(texts)), 1))[:, None].astype(np.float32)
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language and calibrated confidence for each text."""
@@ -206,9 +219,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = 0
 
     def count(texts):
-        doc, bucket = ngrams(texts)
-        key = np.unique(doc.astype(np.int64) << BITS | bucket)
-        return np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
+        out = np.zeros(1 << BITS, np.int64)
+        for a in range(0, len(texts), 256):
+            part = texts[a : a + 256]
+            there = np.zeros((len(part), 1 << BITS), bool)
+            for doc, bucket in ngrams(part):
+                there[doc, bucket] = True
+            out += there.sum(0)
+        return out
 
     pending, chars = [], 0
     for batch in batches:

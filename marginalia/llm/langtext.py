@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,22 +55,29 @@ def prose_word(token: str) -> str | None:
     return None if _CAMEL.search(word) else word
 
 
+@lru_cache(maxsize=1 << 16)
+def _unit(token: str) -> tuple[str, int, int]:
+    """What of a token is natural language, its words, and its characters in CJK scripts."""
+    if token[0] in "@\\" and len(token) > 1:
+        return "", 0, 0
+    if not token.isascii() and CJK_CHAR.search(token):
+        kept = re.sub(r"[A-Za-z_][\w:]*(?:\(\))?|\d+", " ", token).strip()
+        return kept, 0, len(CJK_CHAR.findall(kept))
+    word = prose_word(token)
+    return (word, int(len(word) > 1), 0) if word is not None else ("", 0, 0)
+
+
 def prose(text: str) -> tuple[str, int, int]:
     """The natural-language words of a text, joined by blanks, their number, and the number of characters in CJK scripts."""
     words, count, cjk = [], 0, 0
-    for line in without_code(text).split("\n"):
-        for token in _LINK.sub(" ", line).split():
-            if token[0] in "@\\" and len(token) > 1:
-                continue
-            if CJK_CHAR.search(token):
-                kept = re.sub(r"[A-Za-z_][\w:]*(?:\(\))?|\d+", " ", token).strip()
-                cjk += len(CJK_CHAR.findall(kept))
-                words.append(kept)
-                continue
-            word = prose_word(token)
-            if word is not None:
-                words.append(word)
-                count += len(word) > 1
+    if not text.isascii() or not text.isprintable() or any(c in text for c in "<&/;`@{#"):
+        text = _LINK.sub(" ", without_code(text))
+    for token in text.split():
+        kept, n, c = _unit(token) if len(token) < 64 else _unit.__wrapped__(token)  # long tokens aren't worth remembering
+        if kept:
+            words.append(kept)
+            count += n
+            cjk += c
     return " ".join(words), count, cjk
 
 
