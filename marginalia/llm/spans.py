@@ -164,14 +164,17 @@ def shared_spans(records: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
         .mapInArrow(_contexts(span, k), "anchor bigint, class_id string, start int, c1 bigint, c2 bigint, context string"), "spans-contexts",
     )
     key = ["anchor", "c1", "c2"]
-    distinct = contexts.groupBy(*key).agg(F.first("context").alias("context"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    runs = distinct.select(*key, "context", "low", "high").mapInArrow(_runs(span), "w1 bigint, w2 bigint, anchor bigint, c1 bigint, c2 bigint, off int, low string, high string")
-    # A run that equal contexts share needs no partner elsewhere; only the others are compared.
-    runs = materialize(runs, "spans-runs")
+    distinct = materialize(contexts.groupBy(*key).agg(F.first("context").alias("context"), F.min("class_id").alias("low"), F.max("class_id").alias("high")), "spans-distinct")
+    # A context that several records have is shared as a whole. Runs are only made where an anchor has several contexts, and only those of contexts that one record has are in question.
+    whole = distinct.where("low != high").select(*key, F.array(F.struct(F.lit(0).alias("a"), F.length("context").alias("b"))).alias("parts"))
+    varied = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
+    open_ = salt_left(distinct, ["anchor"], hot, ["c1", "c2"]).join(salt_right(varied, ["anchor"], hot), ["anchor", "_salt"]).select(*key, "context", "low", "high")
+    runs = materialize(open_.mapInArrow(_runs(span), "w1 bigint, w2 bigint, anchor bigint, c1 bigint, c2 bigint, off int, low string, high string"), "spans-runs")
     hot_runs = materialize(hot_keys(runs, ["w1", "w2"]), "spans-hot-runs")
     known = runs.groupBy("w1", "w2").agg(F.min("low").alias("_a"), F.max("high").alias("_b")).where("_a != _b").select("w1", "w2")
-    agreed = salt_left(runs.select("w1", "w2", *key, "off"), ["w1", "w2"], hot_runs, [*key, "off"]).join(salt_right(known, ["w1", "w2"], hot_runs), ["w1", "w2", "_salt"])
+    agreed = salt_left(runs.where("low = high").select("w1", "w2", *key, "off"), ["w1", "w2"], hot_runs, [*key, "off"]).join(salt_right(known, ["w1", "w2"], hot_runs), ["w1", "w2", "_salt"])
     parts = agreed.groupBy(*key).agg(merged(F.collect_set(F.struct(F.col("off").alias("a"), (F.col("off") + span).alias("b")))).alias("parts"))  # at most SPAN - K + 1 offsets
+    parts = parts.unionByName(whole)
     parts = materialize(parts, "spans-parts")
     hot_contexts = materialize(hot_keys(contexts, key), "spans-hot-contexts")
     spans = (
