@@ -16,6 +16,7 @@ nothing; repeats within one entity don't count; offsets are in code points; othe
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,16 +55,36 @@ def rolling(code: np.ndarray, length: int, which: int) -> np.ndarray:
     return _mixed((sums[length:] - sums[:-length]) * back, MIX[1 - which])
 
 
+def rolling_all(texts: list[np.ndarray], length: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many texts at once: hashes, the number of the text of each, and its place there."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    code = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    h = rolling(code, length, which)
+    own = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    ends = np.cumsum(sizes)
+    at = np.arange(len(h))
+    inside = at + length <= ends[own] if len(h) else np.zeros(0, bool)
+    return h[inside], own[inside], at[inside] - (ends - sizes)[own[inside]]
+
+
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places of the least hash in every window, of equal ones the leftmost."""
+    return anchors_all(hashes, np.zeros(len(hashes), np.int64), window)
+
+
+def anchors_all(hashes: np.ndarray, own: np.ndarray, window: int) -> np.ndarray:
+    """The same for hashes of many texts; no window reaches over the end of a text."""
     if len(hashes) < window:
         return np.zeros(0, np.int64)
+    whole = own[window - 1 :] == own[: len(own) - window + 1]
     out = []
     step = 1 << 16
-    for a in range(0, len(hashes) - window + 1, step):
-        view = np.lib.stride_tricks.sliding_window_view(hashes[a : a + step + window - 1], window)
-        out.append(np.unique(view.argmin(1) + np.arange(len(view)) + a))
-    return np.unique(np.concatenate(out))
+    for a in range(0, len(whole), step):
+        starts = np.flatnonzero(whole[a : a + step])
+        if len(starts):
+            view = np.lib.stride_tricks.sliding_window_view(hashes[a : a + step + window - 1], window)
+            out.append(np.unique(view.argmin(1)[starts] + starts + a))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def _seeds(span: int, k: int):
@@ -73,15 +94,10 @@ def _seeds(span: int, k: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                keys, hs, ats = [], [], []
-                for class_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    h = rolling(codes(text), k, 0)
-                    at = anchors(h, span - k + 1)
-                    keys += [class_id] * len(at)
-                    hs.append(h[at])
-                    ats.append(at)
-                if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(keys), pa.array(np.concatenate(ats).astype(np.int32))], schema=schema)
+                h, own, place = rolling_all([codes(t) for t in part.column(1).to_pylist()], k, 0)
+                at = anchors_all(h, own, span - k + 1)
+                if len(at):
+                    yield pa.record_batch([pa.array(h[at].view(np.int64)), part.column(0).take(pa.array(own[at])), pa.array(place[at].astype(np.int32))], schema=schema)
 
     return run
 
@@ -97,11 +113,9 @@ def _contexts(span: int, k: int):
                     for at, h in zip(ats, hs):
                         a, b = max(0, at + k - span), min(len(text), at + span)
                         context = text[a:b]
-                        code = codes(context)
                         # The anchor's place in its context belongs to the context: at a text's end it is cut short.
-                        mark = at - a
-                        c1, c2 = (int((rolling(code, len(code), w)[0] + np.uint64(mark)).astype(np.int64)) for w in (0, 1))
-                        rows.append((h, class_id, a, c1, c2, context))
+                        digest = hashlib.blake2b(f"{at - a} {context}".encode("utf-8", "replace"), digest_size=16).digest()
+                        rows.append((h, class_id, a, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), context))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -115,18 +129,12 @@ def _runs(span: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                w1, w2, rep = [], [], []
-                for n, context in enumerate(part.column(3).to_pylist()):
-                    code = codes(context)
-                    w1.append(rolling(code, span, 0))
-                    w2.append(rolling(code, span, 1))
-                    rep.append(len(w1[-1]))
-                total = sum(rep)
-                if total:
-                    idx = pa.array(np.repeat(np.arange(part.num_rows), rep))
-                    off = np.concatenate([np.arange(r, dtype=np.int32) for r in rep])
+                texts = [codes(t) for t in part.column(3).to_pylist()]
+                w1, own, off = rolling_all(texts, span, 0)
+                if len(w1):
+                    idx = pa.array(own)
                     take = lambda c: part.column(c).take(idx)  # noqa: E731, B023
-                    yield pa.record_batch([pa.array(np.concatenate(w1).view(np.int64)), pa.array(np.concatenate(w2).view(np.int64)), take(0), take(1), take(2), pa.array(off), take(4), take(5)], schema=schema)
+                    yield pa.record_batch([pa.array(w1.view(np.int64)), pa.array(rolling_all(texts, span, 1)[0].view(np.int64)), take(0), take(1), take(2), pa.array(off.astype(np.int32)), take(4), take(5)], schema=schema)
 
     return run
 
