@@ -8,6 +8,7 @@ as a declaration is passed over up to the next ``;`` or ``}``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from marginalia.functions.clex import Lines, Token, comment_text, doc_kind, tokens
@@ -53,7 +54,8 @@ class Node:
     text: str | None = None
     doc: str | None = None
     doc_trailing: bool = False
-    parent_qualified: str | None = None
+    doc_near: str | None = None  # the documentation comment next before the declaration, whatever stands between them but code
+    begin_column: int = 1
 
 
 def _join(words: list[str]) -> str:
@@ -78,6 +80,7 @@ class Parser:
         self.by_end: dict[int, int] = {}  # line on which a comment ends -> its number
         for n, c in enumerate(self.comments):
             self.by_end[self.lines.line(c.start + len(c.text) - 1)] = n
+        self.comment_starts = [c.start for c in self.comments]
         self.by_start: dict[int, list[int]] = {}
         for n, c in enumerate(self.comments):
             self.by_start.setdefault(self.lines.line(c.start), []).append(n)
@@ -131,11 +134,12 @@ class Parser:
         c = self.comments[n]
         kind = doc_kind(c.text)
         if kind == "block":
-            return c.text
+            end = c.start + len(c.text)
+            return c.text if not self.text[end : self.lines.starts[line - 1]].strip() else None  # code behind it is what it documents
         if kind != "line":
             return None
         first = n
-        while first > 0 and doc_kind(self.comments[first - 1].text) == "line" and self.lines.line(self.comments[first - 1].start) == self.lines.line(self.comments[first].start) - 1:
+        while first > 0 and doc_kind(self.comments[first - 1].text) == "line" and self.lines.line(self.comments[first - 1].start) == self.lines.line(self.comments[first].start) - 1 and not self._code_before(self.comments[first - 1].start):
             first -= 1
         return "\n".join(x.text for x in self.comments[first : n + 1])
 
@@ -154,6 +158,26 @@ class Parser:
                 return "\n".join(run)
         return None
 
+    def doc_near(self, start: int) -> str | None:
+        """The last documentation comment before ``start`` if no code stands between."""
+        n = bisect_left(self.comment_starts, start) - 1
+        while n >= 0:
+            c = self.comments[n]
+            if self.text[c.start + len(c.text) : self.comments[n + 1].start if n + 1 < len(self.comments) and self.comments[n + 1].start < start else start].strip():
+                return None
+            kind = doc_kind(c.text)
+            if kind == "block":
+                return c.text
+            if kind == "line":
+                first = n
+                while first > 0 and doc_kind(self.comments[first - 1].text) == "line" and not self.text[self.comments[first - 1].start + len(self.comments[first - 1].text) : self.comments[first].start].strip():
+                    first -= 1
+                return "\n".join(x.text for x in self.comments[first : n + 1])
+            if kind == "trailing":
+                return None
+            n -= 1
+        return None
+
     def _code_before(self, offset: int) -> bool:
         return bool(self.text[self.lines.starts[self.lines.line(offset) - 1] : offset].strip())
 
@@ -188,6 +212,9 @@ class Parser:
                 stack[-1][2] = t.text
             else:
                 self.declaration(stack)
+        for node in self.nodes:
+            node.begin_column = self.lines.column(node.start)
+            node.doc_near = node.doc if node.doc is not None else self.doc_near(node.start)
         return self.nodes
 
     def _label(self) -> bool:
@@ -617,9 +644,10 @@ def parse(text: str | None, cpp: bool = True) -> list[Node]:
     return Parser(text, cpp).parse() if text else []
 
 
-def documentation(node: Node) -> str | None:
-    """The text of a node's documentation comment."""
-    if node.doc is None:
+def documentation(node: Node, near: bool = False) -> str | None:
+    """The text of a node's documentation comment; with ``near`` of the one next before it."""
+    doc = node.doc_near if near else node.doc
+    if doc is None:
         return None
-    parts = [node.doc] if node.doc.startswith("/*") else node.doc.split("\n")
+    parts = [doc] if doc.startswith("/*") else doc.split("\n")
     return "\n".join(comment_text(p) for p in parts)

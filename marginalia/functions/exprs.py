@@ -139,7 +139,7 @@ def splice(text: Column, start: Column, end: Column, new: Column) -> Column:
     """Bytes ``start`` to ``end`` replaced."""
     raw = F.encode(text, "UTF-8")
     size = F.octet_length(text)
-    return F.decode(F.concat(F.substring(raw, F.lit(1), start), F.encode(new, "UTF-8"), F.substring(raw, end + 1, size)), "UTF-8")
+    return F.make_valid_utf8(F.concat(F.substring(raw, F.lit(1), start), F.encode(new, "UTF-8"), F.substring(raw, end + 1, size)).cast("string"))
 
 
 def comment_marks(path: Column) -> tuple[Column, Column]:
@@ -218,7 +218,7 @@ def external_url(template: Column, rest: Column) -> Column:
 
 def truncate_brief(brief: Column, limit: int = 60) -> Column:
     """A text longer than ``limit`` bytes is cut, on a character's edge, and gets ``...``."""
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(brief, "UTF-8"), 1, limit), "UTF-8"), "�$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(brief, "UTF-8"), 1, limit).cast("string")), "�$", "")
     cut = F.when(F.octet_length(brief) == F.length(brief), F.substring(brief, 1, limit)).otherwise(cut)
     return F.when(F.octet_length(brief) > limit, F.concat(cut, F.lit("..."))).otherwise(brief)
 

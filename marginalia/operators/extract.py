@@ -57,14 +57,14 @@ def rows_of(module: str, content: str, cpp: bool) -> list[dict]:
     for n, node in enumerate(cdecl.parse(content, cpp)):
         own = entity_id(module, node.kind, node.qualified, n)
         ids[id(node)] = own
-        text = cdecl.documentation(node)
+        text = cdecl.documentation(node, near=True)
         attributes = [re.match(r"\s*([\w:]*)\s*(?:\((.*)\))?", a, re.S) for a in node.attributes]
         out.append({
             "entity_id": own, "parent_id": ids.get(id(node.parent)) if node.parent is not None else None, "module": module, "kind": node.kind, "name": node.name, "qualified_name": node.qualified, "namespace": node.namespace,
             "access": node.access, "method_kind": _kind_of(node), "operator_symbol": node.name.removeprefix("operator").strip() if node.name.startswith("operator") else None,
             "return_type": node.return_type if node.kind in ("function", "method") else None, "underlying": node.text if node.kind in ("typedef", "type_alias") else node.return_type if node.kind == "enum" else node.text if node.kind in ("field", "variable") else None,
             "constraint_text": node.text if node.kind == "concept" else None, "body": node.text if node.kind == "macro" else None, "requires_clause": None, "flags": [(f, True) for f in sorted(node.flags)],
-            "line": node.line, "col_no": node.column, "ord": n, "depth": node.depth, "doc": doccomment.parse(text), "params": [{"name": p.name, "type_str": p.type, "default_value": p.default} for p in node.params],
+            "line": node.line, "col_no": node.begin_column, "ord": n, "depth": node.depth, "doc": doccomment.parse(text), "params": [{"name": p.name, "type_str": p.type, "default_value": p.default} for p in node.params],
             "tparams": [{"name": p.name, "kind": _tparam_kind(p.type), "is_variadic": "..." in p.type, "default_value": p.default} for p in node.tparams], "enum_values": [{"name": a, "text": b} for a, b in node.values],
             "bases": [{"name": a, "access": b, "is_virtual": c} for a, b, c in node.bases], "attributes": [{"name": a.group(1), "argument": a.group(2)} for a in attributes if a], "signature": node.text if node.kind in ("function", "method") else None,
         })

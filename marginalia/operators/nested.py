@@ -5,7 +5,7 @@ order, the identities of the objects below it. An object that stands in many pla
 stands is kept in bridge rows (document, path, ordinal, identity), so nothing is lost by sharing.
 
 Defined results: a null, empty or malformed body, or one without the version and the module array that the
-format asks for, has no rows; what should be an array but isn't counts as empty; what should be an object but
+format asks for, has no rows, nor has one nested deeper than the JSON reader goes (some thousands of levels); what should be an array but isn't counts as empty; what should be an object but
 isn't is skipped, its place in the array staying counted; a name that is missing or no string is ``''``;
 documents sent twice give their rows once; an empty table gives empty tables.
 """
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from marginalia.runtime import hot_keys, materialize, salt_left, salt_right
 
-VERSION = "1.0"
+#: Fixed: keys of the interchange format under ``properties`` of a run, and the version that is read.
+VERSION_KEY, MODULES_KEY, VERSION = "stig:version", "stig:modules", "1.0"
 ROWS = "is_object boolean, sarif_id bigint, owner_path string, child_kind string, pos int, parent_id string, object_id string, name string, attributes string"
 #: Fixed: the arrays of objects that are followed below each kind, with the kind of what they hold.
 CHILDREN = {
@@ -56,9 +57,9 @@ def modules_of(body: str | None) -> list:
     runs = top.get("runs") if isinstance(top, dict) else None
     run = runs[0] if isinstance(runs, list) and runs else None
     properties = run.get("properties") if isinstance(run, dict) else None
-    if not isinstance(properties, dict) or properties.get("stig:version") != VERSION:
+    if not isinstance(properties, dict) or properties.get(VERSION_KEY) != VERSION:
         return []
-    modules = properties.get("stig:modules")
+    modules = properties.get(MODULES_KEY)
     return modules if isinstance(modules, list) else []
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import exprs
-from marginalia.operators import coverage, extract, graph, grouping, links, lint, manifest, snippets, symbols, testcov
+from marginalia.operators import coverage, extract, graph, grouping, links, lint, manifest, render, symbols, testcov
+from marginalia.operators.nested import MODULES_KEY, VERSION_KEY
+from marginalia.sources import sarif
+from marginalia.streaming import documents
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -475,3 +478,110 @@ def document_state(spark, d):
     """Batch twin of the keyed document state: the last event of each key."""
     e = table(spark, d, "events")
     return e.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("opened"))
+
+
+_EVENTS = """
+WITH e AS (SELECT 'file:///u' || user_id AS uri, event_id AS seq, CASE event_type WHEN 'signup' THEN 'open' WHEN 'error' THEN 'close' WHEN 'view' THEN 'save' ELSE 'change' END AS action, event_type || ' ' || event_id AS text FROM events),
+s AS (SELECT *, coalesce(last_value(CASE WHEN action IN ('open', 'close') THEN action END IGNORE NULLS) OVER (PARTITION BY uri ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'close') AS before FROM e),
+st AS (SELECT uri, seq, action, CASE WHEN action <> 'close' THEN text END AS text FROM s WHERE action = 'open' OR before = 'open')
+"""
+
+
+def _edits(spark, d):
+    """Events of the table as edits of documents: signup opens, error closes, view saves, all else replaces the text."""
+    e = table(spark, d, "events")
+    action = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "close").when(F.col("event_type") == "view", "save").otherwise("change")
+    none = [F.lit(None).cast("int").alias(c) for c in ("start_line", "start_char", "end_line", "end_char")]
+    return e.select(F.concat(F.lit("file:///u"), F.col("user_id").cast("string")).alias("uri"), F.col("event_id").alias("seq"), action.alias("action"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text"), *none)
+
+
+@query(_EVENTS + "SELECT * FROM st")
+def document_states(spark, d):
+    return documents.states_batch(_edits(spark, d))
+
+
+@query(_EVENTS + "SELECT uri, arg_max(coalesce(text, '-'), seq) AS text, max(seq) AS seq FROM st GROUP BY 1")
+def document_latest(spark, d):
+    """Live documents as a stream with keyed state, run to the end of its input."""
+    from marginalia.runtime import scratch
+
+    at = scratch(spark, "edits")
+    _edits(spark, d).repartition(4).sortWithinPartitions("seq").write.parquet(f"{at}/in")
+    stream = documents.states(spark.readStream.schema(documents.EVENTS).parquet(f"{at}/in"))
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return documents.latest(spark.read.schema(documents.STATES).parquet(f"{at}/out").withColumn("text", F.coalesce("text", F.lit("-"))))
+
+
+@query(f"""SELECT DISTINCT sarif_id, CASE WHEN body IS NULL OR NOT json_valid(body) THEN 'InvalidJson' WHEN coalesce(json_type(body, '$.runs'), '') <> 'ARRAY' OR coalesce(json_type(body, '$.runs[0].properties'), '') <> 'OBJECT' THEN 'InvalidStructure'
+WHEN coalesce(json_type(body, '$.runs[0].properties."{VERSION_KEY}"'), '') <> 'VARCHAR' THEN 'MissingVersion' WHEN json_extract_string(body, '$.runs[0].properties."{VERSION_KEY}"') <> '1.0' THEN 'UnsupportedVersion'
+WHEN coalesce(json_type(body, '$.runs[0].properties."{MODULES_KEY}"'), '') <> 'ARRAY' THEN 'MissingModules' ELSE 'ok' END AS status FROM sarif_documents""")
+def sarif_status(spark, d):
+    return sarif.statuses(table(spark, d, "sarif_documents")).select("sarif_id", "status").distinct()
+
+
+@query()
+def sarif_export(spark, d):
+    return sarif.module_documents(_parsed(spark, d))
+
+
+@query()
+def sarif_results(spark, d):
+    return sarif.results(_issues(spark, d))
+
+
+@query(_LINT + "SELECT code, arg_min(severity, struct_pack(f := file, l := line, m := message)) AS severity FROM issues GROUP BY 1")
+def sarif_rules(spark, d):
+    return sarif.rules(_issues(spark, d))
+
+
+@query()
+def module_pages(spark, d):
+    return render.module_pages(_parsed(spark, d))
+
+
+@query()
+def index_pages(spark, d):
+    return render.index_page(extract.entities(_parsed(spark, d)))
+
+
+@query(_INCLUDES + """SELECT 'INCLUDES/' || regexp_replace(string_split(module, '/')[-1], '\\.[^.]*$', '') || '.md' AS path, '# Includes of ' || module || chr(10) || chr(10) ||
+string_agg('- ' || CASE WHEN is_system THEN '<' || path || '>' ELSE '"' || path || '"' END || chr(10), '' ORDER BY line) AS content FROM inc GROUP BY module""")
+def includes_pages(spark, d):
+    return render.includes_pages(extract.includes(sources(spark, d)))
+
+
+@query("""SELECT DISTINCT CASE WHEN coalesce(is_mainpage, false) THEN 'introduction.md' ELSE 'pages/' || id || '.md' END AS path, '# ' || coalesce(title, id) || chr(10) || chr(10) || coalesce(content, '') AS content FROM pages""")
+def custom_pages(spark, d):
+    return render.custom_pages(table(spark, d, "pages"))
+
+
+@query(f"""{WITH} SELECT module || ':' || CASE WHEN line > 0 THEN line ELSE 1 END || ':1: ' || CASE WHEN issue = 'no documentation' THEN 'warning' ELSE 'note' END || ': ' || issue || ' ''' || entity_name || ''' (' || entity_type || ')' AS text FROM (SELECT module, qualified_name AS entity_name, kind AS entity_type,
+CASE WHEN NOT {_HAS_DOCS} THEN 'no documentation' WHEN kind IN ('function', 'method') AND NOT {_CTOR} AND NOT {_VOID} AND doc.returns IS NULL THEN 'missing @return' END AS issue,
+CASE WHEN kind IN ('type_alias', 'concept') THEN 0 ELSE line END AS line FROM ents WHERE {_COUNTED}) WHERE issue IS NOT NULL""")
+def compiler_report(spark, d):
+    return coverage.report_lines(coverage.missing_items(entities(spark, d)))
+
+
+@query(_LINT + "SELECT file AS uri, greatest(line - 1, 0) AS line, CASE severity WHEN 'info' THEN 'information' ELSE severity END AS severity, code, message FROM issues")
+def diagnostics(spark, d):
+    return documents.to_diagnostics(_issues(spark, d))
+
+
+@query()
+def code_actions(spark, d):
+    p = _parsed(spark, d)
+    own = extract.entities(p)
+    issues = lint.issues(own, None, params=extract.params(p), doc_params=extract.doc_params(p))
+    return documents.code_actions(issues, own, extract.params(p))
+
+
+@query()
+def class_diagram(spark, d):
+    """The classes of the parsed sources with their bases, as the lines of one diagram."""
+    p = _parsed(spark, d)
+    classes = p.where("kind in ('class', 'struct')")
+    pure = graph.abstract_classes(p.where("kind = 'method'")).withColumnRenamed("parent_id", "entity_id")
+    nodes = classes.join(pure, "entity_id", "left").select(F.col("qualified_name").alias("name"), "is_abstract")
+    bases = extract.bases(classes).join(classes.select("entity_id", F.col("qualified_name").alias("child")), "entity_id").select("child", F.col("name").alias("base"), "pos")
+    edges = graph.match_bases(nodes, bases)
+    return graph.class_diagram(graph.class_nodes(nodes, edges), edges)

@@ -31,7 +31,7 @@ def brute(sarif_id, body):
 
 
 def body(modules, version="1.0"):
-    return json.dumps({"runs": [{"properties": {"stig:version": version, "stig:modules": modules}}]})
+    return json.dumps({"runs": [{"properties": {nested.VERSION_KEY: version, nested.MODULES_KEY: modules}}]})
 
 
 def found(spark, rows):
