@@ -68,7 +68,31 @@ orphans AS (
   WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.entity_id = r.entity_id) GROUP BY ALL)
 """
 
+_NESTED = f"""
+WITH RECURSIVE ok AS (
+  SELECT DISTINCT sarif_id, json_extract(body, '$.runs[0].properties."{nested.MODULES_KEY}"') AS ms FROM sarif_documents
+  WHERE body IS NOT NULL AND json_valid(body) AND json_type(body, '$.runs') = 'ARRAY' AND json_type(body, '$.runs[0].properties."{nested.VERSION_KEY}"') = 'VARCHAR'
+    AND json_extract_string(body, '$.runs[0].properties."{nested.VERSION_KEY}"') = '{nested.VERSION}' AND json_type(body, '$.runs[0].properties."{nested.MODULES_KEY}"') = 'ARRAY'),
+m AS (SELECT sarif_id, i::varchar AS path, json_extract(ms, '$[' || i || ']') AS o FROM (SELECT *, unnest(range(0, json_array_length(ms)::bigint)) AS i FROM ok)),
+below AS (SELECT * FROM m WHERE json_type(o) = 'OBJECT'),
+cls AS (
+  SELECT sarif_id, path || '/classes/' || j AS path, json_extract(o, '$.classes[' || j || ']') AS o FROM (SELECT *, unnest(range(0, CASE WHEN json_type(o, '$.classes') = 'ARRAY' THEN json_array_length(o, '$.classes')::bigint ELSE 0 END)) AS j FROM below)
+  UNION ALL
+  SELECT sarif_id, path || '/nestedClasses/' || j, json_extract(o, '$.nestedClasses[' || j || ']') FROM (SELECT *, unnest(range(0, CASE WHEN json_type(o) = 'OBJECT' AND json_type(o, '$.nestedClasses') = 'ARRAY' THEN json_array_length(o, '$.nestedClasses')::bigint ELSE 0 END)) AS j FROM cls)),
+owners AS (
+  SELECT sarif_id, path || '/functions/' || j AS path, json_extract(o, '$.functions[' || j || ']') AS o FROM (SELECT *, unnest(range(0, CASE WHEN json_type(o, '$.functions') = 'ARRAY' THEN json_array_length(o, '$.functions')::bigint ELSE 0 END)) AS j FROM below)
+  UNION ALL
+  SELECT sarif_id, path || '/methods/' || j, json_extract(o, '$.methods[' || j || ']') FROM (SELECT *, unnest(range(0, CASE WHEN json_type(o) = 'OBJECT' AND json_type(o, '$.methods') = 'ARRAY' THEN json_array_length(o, '$.methods')::bigint ELSE 0 END)) AS j FROM cls)),
+own AS (SELECT * FROM owners WHERE json_type(o) = 'OBJECT'),
+held AS (
+  SELECT sarif_id, path, 'param' AS child_kind, j AS pos, json_extract(o, '$.params[' || j || ']') AS p FROM (SELECT *, unnest(range(0, CASE WHEN json_type(o, '$.params') = 'ARRAY' THEN json_array_length(o, '$.params')::bigint ELSE 0 END)) AS j FROM own)
+  UNION ALL
+  SELECT sarif_id, path, 'doc_param', j, json_extract(o, '$.doc.params[' || j || ']') FROM (SELECT *, unnest(range(0, CASE WHEN json_type(o, '$.doc') = 'OBJECT' AND json_type(o, '$.doc.params') = 'ARRAY' THEN json_array_length(o, '$.doc.params')::bigint ELSE 0 END)) AS j FROM own))
+SELECT DISTINCT sarif_id, path AS owner_path, child_kind, pos::int AS pos, CASE WHEN json_type(p, '$.name') = 'VARCHAR' THEN json_extract_string(p, '$.name') ELSE '' END AS name FROM held WHERE json_type(p) = 'OBJECT'
+"""
+
 ORACLE = {
+    "p2_found": _NESTED,
     "p1_found": _ORPHANS + "SELECT DISTINCT src_table, ref_field, entity_id, pos FROM orphans",
     "p1_counts": _ORPHANS + "SELECT src_table, ref_field, period, count(*) AS orphans FROM orphans GROUP BY ALL",
 }

@@ -56,6 +56,7 @@ WITH = f"WITH {ONCE}"
 _CTOR = "coalesce(method_kind, '') IN ('constructor', 'destructor', 'copy_constructor', 'move_constructor')"
 _VOID = "coalesce(trim(replace(return_type, chr(9), ' ')) IN ('', 'void'), true)"
 _COUNTED = "kind IN ('function', 'method', 'class', 'struct', 'enum', 'typedef', 'type_alias', 'concept') AND coalesce(access, 'public') <> 'private'"
+_CHECKED = "kind IN ('function', 'method', 'class', 'struct', 'enum', 'typedef', 'macro', 'type_alias', 'concept') AND coalesce(access, 'public') <> 'private'"
 _HAS_DOCS = "coalesce(doc IS NOT NULL AND (doc.brief IS NOT NULL OR doc.details IS NOT NULL OR doc.raw <> ''), false)"
 
 
@@ -121,12 +122,12 @@ def duplicate_names(spark, d):
     return doc_params(spark, d).groupBy("entity_id", "name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-@query(f"""{WITH} SELECT entity_id FROM ents WHERE doc IS NOT NULL AND coalesce(doc.brief, '') = ''""")
+@query(f"""{WITH} SELECT entity_id FROM ents WHERE doc IS NOT NULL AND coalesce(doc.brief, '') = '' AND {_CHECKED}""")
 def empty_brief(spark, d):
     return lint.single(lint.checked(entities(spark, d), lint.Config()), lint.Config()).where("code = 'W002'").select("entity_id")
 
 
-@query(f"""{WITH} SELECT entity_id, strlen(doc.brief) AS bytes FROM ents WHERE doc.brief <> '' AND NOT regexp_matches(doc.brief, '[.!?]$')""")
+@query(f"""{WITH} SELECT entity_id, strlen(doc.brief) AS bytes FROM ents WHERE doc.brief <> '' AND NOT regexp_matches(doc.brief, '[.!?]$') AND {_CHECKED}""")
 def brief_no_period(spark, d):
     own = lint.checked(entities(spark, d), lint.Config())
     hit = lint.single(own, lint.Config(require_brief_period=True)).where("code = 'I002'").select("entity_id")
