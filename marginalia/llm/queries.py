@@ -88,4 +88,23 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_shares, p5_found, p5_shares, p6_ids, p7_found, p7_leaks, p8_found, p8_segments, p8_documents)}
-ORACLE: dict[str, str] = {}
+_SPANS = """
+WITH t AS (SELECT entity_id, arg_max(coalesce(doc.details, doc.raw), ingested_at) AS x FROM entities WHERE entity_id IS NOT NULL GROUP BY 1),
+w AS (SELECT entity_id, i, substr(x, i + 1, 160) AS s FROM (SELECT entity_id, x, unnest(range(0, length(x) - 159)) AS i FROM t WHERE length(x) >= 160)),
+common AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT entity_id) > 1),
+hit AS (SELECT entity_id, i FROM w SEMI JOIN common USING (s)),
+marked AS (SELECT *, coalesce(i > lag(i) OVER o + 160, true) AS begins FROM hit WINDOW o AS (PARTITION BY entity_id ORDER BY i)),
+runs AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY entity_id ORDER BY i) AS n FROM marked),
+spans AS (SELECT entity_id, min(i)::int AS span_start, (max(i) + 160)::int AS span_end FROM runs GROUP BY entity_id, n)
+"""
+_RUNS = """
+WITH iw AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM eval_items), dw AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM documents),
+ig AS (SELECT DISTINCT item_id, lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw WHERE len(w) >= 12)),
+dg AS (SELECT doc_id, lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM dw WHERE len(w) >= 12))
+"""
+
+ORACLE: dict[str, str] = {
+    "p5_found": _SPANS + "SELECT * FROM spans",
+    "p5_shares": _SPANS + "SELECT entity_id, length(any_value(x))::int AS text_chars, sum(span_end - span_start)::int AS shared_chars, round(sum(span_end - span_start) / length(any_value(x)), 6) AS share FROM spans JOIN t USING (entity_id) GROUP BY 1",
+    "p7_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+}
