@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.clex import Token, comment_text, string_value, tokens
-from marginalia.llm.docpairs import distinct_files
 from marginalia.llm.langtext import CJK, CJK_CHAR, SENTENCE_CJK, SENTENCE_WORDS, _FENCE, _LINK, is_code, labelled_sample, paragraphs, prose, prose_word
 
 #: Fixed: a passage has at least so many blank-divided words, or characters of CJK scripts.
@@ -29,7 +28,7 @@ ORDERS = (1, 2, 3, 4)
 SMOOTH, WEIGHT, CHANGE, MOST = 0.5, 0.35, 9.0, 8.0
 #: Words remembered by a worker.
 CACHE = 200_000
-PASSAGES = "path string, kind string, line int, lang string, words int, chars int, bytes int, content_bytes bigint, text string"
+PASSAGES = "path string, kind string, line int, start int, part int, lang string, words int, chars int, bytes int, content_bytes bigint, text string"
 _RUN = re.compile(rf"[{CJK}]+")
 
 
@@ -239,8 +238,8 @@ def _finder(model: Bayes):
                 part, rows = batch.slice(start, 128), []
                 for path, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     size = len(content.encode("utf-8", "replace"))
-                    for kind, offset, lang, words, cjk, text in passages(model, content):
-                        rows.append((path, kind, content.count("\n", 0, offset) + 1, lang, words, len(text), len(text.encode("utf-8", "replace")), size, text))
+                    for n, (kind, offset, lang, words, cjk, text) in enumerate(passages(model, content)):
+                        rows.append((path, kind, content.count("\n", 0, offset) + 1, offset, n, lang, words, len(text), len(text.encode("utf-8", "replace")), size, text))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -253,10 +252,21 @@ def train(documents: DataFrame, aliases: DataFrame) -> Bayes:
 
 
 def find(sources: DataFrame, model: Bayes) -> DataFrame:
-    """Every passage of natural language in the files of ``sources`` (path, content)."""
-    return distinct_files(sources).mapInArrow(_finder(model), PASSAGES)
+    """Every passage of natural language in the files of ``sources`` (path, content); those of a copied file once for each copy.
+
+    No shuffle: what is made of the passages is made distinct afterwards, so that contents never travel."""
+    return sources.where(F.col("content").isNotNull()).select("path", "content").mapInArrow(_finder(model), PASSAGES)
+
+
+def languages(found: DataFrame) -> DataFrame:
+    return found.select("path", "lang").distinct()
+
+
+def distinct(found: DataFrame) -> DataFrame:
+    """Each passage of a file once."""
+    return found.dropDuplicates(["path", "start", "part", "lang", "bytes"])
 
 
 def shares(found: DataFrame) -> DataFrame:
-    """Bytes of each language in each file and their share of the file."""
+    """Bytes of each language in each file and their share of the file; takes each passage once (see ``distinct``)."""
     return found.groupBy("path", "lang").agg(F.count(F.lit(1)).alias("passages"), F.sum("bytes").alias("bytes"), F.round(F.sum("bytes") / F.max("content_bytes"), 6).alias("share"))

@@ -75,11 +75,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
 
 
-def distinct_files(sources: DataFrame) -> DataFrame:
-    """Each (path, content) once. Only the short key and a hash go through the shuffle's sort; contents travel once."""
-    return sources.where(F.col("content").isNotNull()).groupBy("path", F.xxhash64("content").alias("_h")).agg(F.first("content").alias("content")).select("path", "content")
+def pairs(sources: DataFrame) -> DataFrame:
+    """Code and description of each documented function of ``sources`` (path, content).
 
+    Copies of a file are parsed again and their equal pairs dropped, combined before the shuffle: contents never travel."""
+    found = sources.where(F.col("content").isNotNull()).select("path", "content").mapInArrow(_batches, PAIRS)
+    return found.dropDuplicates(["path", "line", "name", "start", "end", "words"])
 
-def pairs(sources: DataFrame) -> DataFrame:
-    """Code and description of each documented function of ``sources`` (path, content)."""
-    return distinct_files(sources).mapInArrow(_batches, PAIRS)
+
+def places(sources: DataFrame) -> DataFrame:
+    """Only path, line and name of each pair; the texts don't leave the task."""
+    return sources.where(F.col("content").isNotNull()).select("path", "content").mapInArrow(_batches, PAIRS).select("path", "line", "name").distinct()

@@ -24,7 +24,7 @@ def tokenizer_path(spark: SparkSession) -> str:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.pairs(table(spark, d, "sources")).select("path", "line", "name").distinct()
+    return docpairs.places(table(spark, d, "sources"))
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -36,11 +36,11 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _passages(spark, d).select("path", "lang").distinct()
+    return codelang.languages(_passages(spark, d))
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    return codelang.shares(_passages(spark, d))
+    return codelang.shares(codelang.distinct(_passages(spark, d)))
 
 
 def _shared(spark: SparkSession, d: str) -> DataFrame:
