@@ -154,6 +154,6 @@ def exit_status(found: DataFrame, coverage: DataFrame, strict: bool = False, min
     """0; 2 if coverage is below the least allowed; 1 if there are errors; 2 if strict and there are warnings; later rules win."""
     c = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     p = coverage.where("kind is null").agg(F.max("percentage").alias("percentage"))
-    low = F.lit(False) if min_coverage is None else F.col("percentage") < min_coverage
+    low = F.lit(False) if min_coverage is None else p.scalar() < min_coverage
     status = F.when(F.lit(strict) & (F.col("warnings") > 0), 2).when(F.col("errors") > 0, 1).when(low, 2).otherwise(0)
-    return c.join(F.broadcast(p)).select("errors", "warnings", status.alias("exit_status"))  # one row beside one row
+    return c.select("errors", "warnings", status.alias("exit_status"))

@@ -30,8 +30,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    """Each declaration once; copies differ in ``ingested_at`` only."""
-    return table(spark, d, "entities").drop("ingested_at").dropDuplicates(["entity_id"])
+    """Each declaration once; copies differ in ``ingested_at`` only. With kind and access in the key, filters on them reach the scan."""
+    return table(spark, d, "entities").drop("ingested_at").dropDuplicates(["entity_id", "kind", "access"])
 
 
 def doc_params(spark: SparkSession, d: str) -> DataFrame:

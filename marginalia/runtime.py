@@ -38,9 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths given out by ``scratch`` and not yet cleared.
+_PATHS: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path, not used before, in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process. Results that were not written elsewhere can't be read afterwards."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -58,8 +73,8 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
 
     Counts are combined before the shuffle, so that a hot key costs one row a task. Null keys count as a key."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_total") * share).select(*keys)
+    total = df.agg(F.count(F.lit(1)))  # one number, a scalar subquery
+    return counts.where(F.col("_n") > total.scalar() * share).select(*keys)
 
 
 def salt_left(df: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], salts: int = SALTS) -> DataFrame:
