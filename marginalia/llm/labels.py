@@ -219,14 +219,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = 0
 
     def count(texts):
-        out = np.zeros(1 << BITS, np.int64)
-        for a in range(0, len(texts), 256):
-            part = texts[a : a + 256]
-            there = np.zeros((len(part), 1 << BITS), bool)
-            for doc, bucket in ngrams(part):
-                there[doc, bucket] = True
-            out += there.sum(0)
-        return out
+        keys = np.concatenate([doc.astype(np.uint32) << np.uint32(BITS) | bucket.astype(np.uint32) for doc, bucket in ngrams(texts)])
+        keys.sort()
+        return np.bincount(keys[np.r_[True, keys[1:] != keys[:-1]]] & np.uint32((1 << BITS) - 1), minlength=1 << BITS)
 
     pending, chars = [], 0
     for batch in batches:
@@ -235,7 +230,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending.append(natural)
                 chars += len(natural)
                 total += 1
-                if chars > CHUNK:
+                if chars > CHUNK or len(pending) >> (32 - BITS - 1):
                     df += count(pending)
                     pending, chars = [], 0
     if pending:
