@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3, 4)
 ALPHA, BETA, L1, L2, PASSES = 0.1, 1.0, 0.01, 0.05, 2
 #: Share of held-out labels that may still be wrong, for the calibration.
 DOUBT = 0.01
+#: Characters handled at a time, so that a batch's arrays stay small.
+CHUNK = 200_000
 SEGMENTS = "doc_id bigint, seg_no int, label string, text_chars int, lang string, confidence double"
 
 
@@ -58,11 +60,25 @@ def totals(grams: list[tuple[np.ndarray, np.ndarray]], texts: int) -> np.ndarray
 
 def tfidf(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (row pointers, buckets, values): count times IDF over the root of the text's number of n-grams."""
-    grams = ngrams(texts)
-    key, count = np.unique(np.concatenate([d.astype(np.int64) << BITS | b for d, b in grams]), return_counts=True)
-    row, col = key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
-    val = (count * idf[col] / np.sqrt(np.maximum(totals(grams, len(texts)), 1))[row]).astype(np.float32)
-    return np.searchsorted(row, np.arange(len(texts) + 1)), col, val
+    sizes, cols, vals = [], [], []
+    at = 0
+    while at < len(texts):
+        part, chars = [], 0
+        while at < len(texts) and (not part or chars < CHUNK) and len(part) < 1 << (32 - BITS):
+            part.append(texts[at])
+            chars += len(texts[at])
+            at += 1
+        grams = ngrams(part)
+        keys = np.concatenate([d.astype(np.uint32) << np.uint32(BITS) | b.astype(np.uint32) for d, b in grams])
+        keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        count = np.diff(np.r_[first, len(keys)])
+        row, col = keys[first] >> np.uint32(BITS), (keys[first] & np.uint32((1 << BITS) - 1)).astype(np.int32)
+        sizes.append(np.bincount(row, minlength=len(part)))
+        cols.append(col)
+        vals.append((count * idf[col] / np.sqrt(np.maximum(totals(grams, len(part)), 1))[row]).astype(np.float32))
+    none = np.zeros(0, np.int32)
+    return np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1, np.int64), np.concatenate(cols) if cols else none, np.concatenate(vals) if vals else none.astype(np.float32)
 
 
 @dataclass
@@ -97,26 +113,17 @@ class Model:
 
 def _dot(ptr, col, val, weights) -> np.ndarray:
     out = np.zeros((len(ptr) - 1, weights.shape[1]), np.float32)
-    full = np.flatnonzero(ptr[1:] > ptr[:-1])
-    if len(full):
-        step = 200_000  # entries at a time, so that a long text doesn't need all its products at once
-        row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-        for a in range(0, len(col), step):
-            part = val[a : a + step, None] * weights[col[a : a + step]]
-            rows = row[a : a + step]
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            out[rows[first]] += np.add.reduceat(part, first)
+    step = 200_000  # entries at a time, so that the products don't all stand in memory
+    for a in range(0, len(col), step):
+        part = val[a : a + step, None] * weights[col[a : a + step]]
+        rows = np.searchsorted(ptr, np.arange(a, a + len(part)), "right") - 1
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        out[rows[first]] += np.add.reduceat(part, first)
     return out
 
 
-def _rows(ptr, col, val, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Some rows of a sparse matrix."""
-    at = np.concatenate([np.arange(ptr[r], ptr[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    return np.r_[0, np.cumsum(np.diff(ptr)[rows])], col[at], val[at]
-
-
-def ftrl(ptr, col, val, y: np.ndarray, classes: int, passes: int = PASSES, batch: int = 128, seed: int = 1) -> np.ndarray:
-    """Weights by follow-the-regularised-leader; gradients of a small batch are taken together."""
+def ftrl(ptr, col, val, y: np.ndarray, chosen: np.ndarray, classes: int, passes: int = PASSES, batch: int = 128, seed: int = 1) -> np.ndarray:
+    """Weights by follow-the-regularised-leader over the chosen rows; gradients of a small batch are taken together."""
     z = np.zeros((1 << BITS, classes), np.float32)
     n = np.zeros((1 << BITS, classes), np.float32)
     order = np.random.default_rng(seed)
@@ -126,7 +133,7 @@ def ftrl(ptr, col, val, y: np.ndarray, classes: int, passes: int = PASSES, batch
         return np.where(np.abs(zc) <= L1, 0, -(zc - np.sign(zc) * L1) / ((BETA + np.sqrt(n[c])) / ALPHA + L2)).astype(np.float32)
 
     for _ in range(passes):
-        perm = order.permutation(len(y))
+        perm = chosen[order.permutation(len(chosen))]
         for a in range(0, len(perm), batch):
             rows = perm[a : a + batch]
             idx = np.concatenate([np.arange(ptr[r], ptr[r + 1]) for r in rows])
@@ -172,18 +179,17 @@ def fit(sample: dict[str, list[str]], idf: np.ndarray) -> Model:
         return Model(langs or ["en"], np.zeros((1 << BITS, max(1, len(langs))), np.float32), idf)
     ptr, col, val = tfidf(texts, idf)
     keep = np.arange(len(y))
-    for _ in range(2):  # labels that the model of the other halves contradicts are taken for wrong
+    for _ in range(2):  # labels that the model of the other half contradicts are taken for wrong
         told = np.full(len(y), -1)
         for fold in (0, 1):
-            weights = ftrl(*_rows(ptr, col, val, keep[own[keep] % 2 == fold]), y[keep[own[keep] % 2 == fold]], len(langs), passes=1)
-            rest = np.flatnonzero(own % 2 != fold)
-            told[rest] = _dot(*_rows(ptr, col, val, rest), weights).argmax(1)
+            weights = ftrl(ptr, col, val, y, keep[own[keep] % 2 == fold], len(langs), passes=1)
+            told = np.where(own % 2 == fold, told, _dot(ptr, col, val, weights).argmax(1))
         agree = np.flatnonzero(told == y)
         keep = agree if len(agree) > len(y) / 2 else keep
     held = keep[keep % 5 == 0]
     train = np.setdiff1d(keep, held)
-    weights = ftrl(*_rows(ptr, col, val, train), y[train], len(langs))
-    z_held = _dot(*_rows(ptr, col, val, held), weights)
+    weights = ftrl(ptr, col, val, y, train, len(langs))
+    z_held = _dot(ptr, col, val, weights)[held]
     model = Model(langs, weights, idf)
     if len(held):
         z = z_held
@@ -210,10 +216,6 @@ def _natural(text: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
-#: Characters handled at a time, so that a batch's arrays stay small.
-CHUNK = 200_000
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(1 << BITS, np.int64)
     total = 0

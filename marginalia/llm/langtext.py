@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: documents for each language, and characters of each such document.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 2000
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
 
 #: Chinese and Japanese scripts.
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿々〆ｦ-ﾟ\U00020000-\U0003ffff"
