@@ -7,8 +7,8 @@ set of tables in the shared folder that are written once and never changed, so a
 loss of an executor or of the driver.
 
 Defined results: a null or blank target is no reference; a null ``seen_at`` is live under no parent with a
-bounded life; rows that repeat a (src_table, ref_field, entity_id, pos) are one reference; with no rows on
-either side the state is empty; other columns of the inputs are ignored.
+bounded life; rows that differ in their arrival only are one reference, rows of one key that differ otherwise are
+judged one by one; with no rows on either side the state is empty; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from marginalia.runtime import hot_keys, salt_left, salt_right, scratch
 
 REF_ID = ["src_table", "ref_field", "entity_id", "pos"]
-REFS = "src_table string, ref_field string, entity_id string, pos int, space string, keys array<string>, seen_at timestamp_ntz, period string, ingested_at timestamp_ntz"
+REFS = "src_table string, ref_field string, entity_id string, pos int, space string, keys array<string>, seen_at timestamp_ntz, ingested_at timestamp_ntz"
 PARENTS = "space string, key string, live_from timestamp_ntz, live_to timestamp_ntz, ingested_at timestamp_ntz"
 WHITE = r"(?U)^\s+|\s+$"
 
@@ -39,13 +39,13 @@ def references(doc_refs: DataFrame, doc_params: DataFrame) -> DataFrame:
     owners = [
         d.select(
             F.lit(name).alias("src_table"), F.lit("entity_id").alias("ref_field"), "entity_id", "pos", F.lit("entity").alias("space"),
-            F.array("entity_id").alias("keys"), F.lit(None).cast("timestamp_ntz").alias("seen_at"), F.date_format(at, "yyyy-MM").alias("period"), "ingested_at",
+            F.array("entity_id").alias("keys"), at.cast("timestamp_ntz").alias("seen_at"), "ingested_at",
         )
-        for name, d, at in (("doc_refs", doc_refs, "seen_at"), ("doc_params", doc_params, "ingested_at"))
+        for name, d, at in (("doc_refs", doc_refs, F.col("seen_at")), ("doc_params", doc_params, F.lit(None)))
     ]
     targets = doc_refs.where(target != "").select(
         F.lit("doc_refs").alias("src_table"), F.lit("target").alias("ref_field"), "entity_id", "pos", kind.alias("space"),
-        F.array_compact(F.array(bare, unsigned)).alias("keys"), "seen_at", F.date_format("seen_at", "yyyy-MM").alias("period"), "ingested_at",
+        F.array_compact(F.array(bare, unsigned)).alias("keys"), "seen_at", "ingested_at",
     )
     return owners[0].unionByName(owners[1]).unionByName(targets)
 
@@ -86,6 +86,25 @@ class OrphanTracker:
         self.state = OrphanState(empty(PARENTS), empty(REFS), empty(REFS))
         self.snapshots: list[DataFrame] = []
 
+    @classmethod
+    def resume(cls, spark: SparkSession, root: str) -> OrphanTracker:
+        """The tracker with the state of the last step below ``root`` that was written to its end."""
+        tracker = cls(spark, root)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = 0
+        while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{done + 1}/refs/_SUCCESS")):
+            done += 1
+        if done:
+            index = spark.read.parquet(f"{root}/{done}/index")
+            judged = [spark.read.schema(REFS + ", open boolean").parquet(f"{root}/{n}/refs") for n in range(1, done + 1)]
+            resolved = judged[0].where("not open").drop("open")
+            for j in judged[1:]:
+                resolved = resolved.unionByName(j.where("not open").drop("open"))
+            tracker.state = OrphanState(index.select("space", "key", "live_from", "live_to", "ingested_at"), judged[-1].where("open").drop("open"), resolved, done)
+        return tracker
+
     def step(self, refs: DataFrame, arrived: DataFrame, count: bool = False) -> OrphanState:
         """Take in a batch of references and of parents; with ``count`` keep a snapshot of the counts.
 
@@ -105,7 +124,7 @@ class OrphanTracker:
                 (F.max(F.when(~F.col("_new"), F.col("live_to").isNull())) & F.max(F.when(F.col("_new"), F.col("live_to").isNotNull()))).alias("_ended"),
             )
             waiting = refs.withColumn("_all", F.lit(True)).unionByName(old.pending.withColumn("_all", F.lit(False)))
-        index.withColumn("_ended", F.col("_ended") if not first else F.lit(False)).write.option("compression", "zstd").parquet(f"{at}/index")
+        index.withColumn("_ended", F.col("_ended") if not first else F.lit(False)).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/index")
         index = self.spark.read.parquet(f"{at}/index")
         if not first:
             ended = index.where("_ended").select("space", F.col("key").alias("_key"), "live_to")
@@ -113,7 +132,7 @@ class OrphanTracker:
                 lost = old.resolved.join(ended, (old.resolved["space"] == ended["space"]) & F.array_contains(old.resolved["keys"], F.col("_key")) & (F.col("seen_at") >= F.col("live_to")), "left_semi")
                 waiting = waiting.unionByName(lost.withColumn("_all", F.lit(True)))
         judged = self._probe(waiting, index)
-        judged.write.option("compression", "zstd").partitionBy("open").parquet(f"{at}/refs")
+        judged.write.mode("overwrite").option("compression", "zstd").partitionBy("open").parquet(f"{at}/refs")
         judged = self.spark.read.schema(judged.schema).parquet(f"{at}/refs")
         pending, resolved = judged.where("open").drop("open"), judged.where("not open").drop("open")
         self.state = OrphanState(index.select("space", "key", "live_from", "live_to", "ingested_at"), pending, old.resolved.unionByName(resolved) if not first else resolved, old.number + 1)
@@ -126,20 +145,30 @@ class OrphanTracker:
         """Each distinct reference once, with ``open``: no key hit a live parent. References that waited before only look at what is new.
 
         A hot key's references are dealt over SALTS tasks; its few parent versions are repeated there."""
-        asked = waiting.select(*REF_ID, "space", "keys", "seen_at", "period", "ingested_at", "_all", F.explode("keys").alias("key"))
+        asked = waiting.select(*REF_ID, "space", "keys", "seen_at", "ingested_at", "_all", F.explode("keys").alias("key"))
         hot = hot_keys(asked, ["space", "key"])
         left = salt_left(asked, ["space", "key"], hot, REF_ID)
         right = salt_right(index.select("space", "key", "live_from", "live_to", "_new"), ["space", "key"], hot).withColumn("_hit", F.lit(True))
         live = (right["live_from"].isNull() | (left["seen_at"] >= right["live_from"])) & (right["live_to"].isNull() | (left["seen_at"] < right["live_to"]))
         on = (left["space"] == right["space"]) & (left["key"] == right["key"]) & (left["_salt"] == right["_salt"]) & (left["_all"] | right["_new"]) & live
-        met = left.join(right, on, "left").select(*REF_ID, left["space"], left["keys"], left["seen_at"], "period", left["ingested_at"], "_hit")
-        return met.groupBy(*REF_ID).agg(
-            F.min("space").alias("space"), F.min("keys").alias("keys"), F.min("seen_at").alias("seen_at"), F.min("period").alias("period"), F.min("ingested_at").alias("ingested_at"), F.max("_hit").isNull().alias("open")
-        )
+        met = left.join(right, on, "left").select(*REF_ID, left["space"], left["keys"], left["seen_at"], left["ingested_at"], "_hit")
+        # Grouped by the whole row but its time of arrival: copies fall together, and the buffers are of fixed size, so that rows are hashed and not sorted.
+        return met.groupBy(*REF_ID, "space", "keys", "seen_at").agg(F.min("ingested_at").alias("ingested_at"), F.max("_hit").isNull().alias("open"))
+
+    def orphans(self) -> DataFrame:
+        """Pending orphans, each key once: ``period`` is the month in which it was first seen, or arrived where that isn't known;
+        ``reason`` is ``never`` if no parent ever had the key, ``not yet`` if the first came later, else ``no longer``."""
+        asked = self.state.pending.select(*REF_ID, "space", F.coalesce("seen_at", "ingested_at").alias("_at"), F.explode("keys").alias("key"))
+        hot = hot_keys(asked, ["space", "key"])
+        began = self.state.index.groupBy("space", "key").agg(F.min("live_from").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        met = salt_left(asked, ["space", "key"], hot, REF_ID).join(salt_right(began, ["space", "key"], hot), ["space", "key", "_salt"], "left")
+        first = met.groupBy(*REF_ID).agg(F.min("_at").alias("_at"), F.min("_first").alias("_first"), F.count("_n").alias("_known"))
+        reason = F.when(F.col("_known") == 0, "never").when(F.col("_first") > F.col("_at"), "not yet").otherwise("no longer")
+        return first.select(*REF_ID, F.date_format("_at", "yyyy-MM").alias("period"), reason.alias("reason"))
 
     def counts(self) -> DataFrame:
-        """Pending orphans by table, field and month."""
-        return self.state.pending.groupBy("src_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("orphans"))
+        """Pending orphans by table, field, month and reason."""
+        return self.orphans().groupBy("src_table", "ref_field", "period", "reason").agg(F.count(F.lit(1)).alias("orphans"))
 
 
 def track(spark: SparkSession, refs: DataFrame, arrived: DataFrame, steps: int = 2, count: bool = False) -> OrphanTracker:

@@ -19,7 +19,7 @@ def _tracked(spark: SparkSession, d: str, **options) -> orphans.OrphanTracker:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tracked(spark, d).state.pending.select("src_table", "ref_field", "entity_id", "pos")
+    return _tracked(spark, d).state.pending.select(*orphans.REF_ID).distinct()
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -57,14 +57,16 @@ live AS (
   SELECT 'symbol' AS space, lookup_key AS k, added_at, removed_at FROM symbols
   UNION SELECT 'page', id, added_at, removed_at FROM pages
   UNION SELECT regexp_extract(line, '(section|anchor)', 1), regexp_extract(line, '[@\\](?:section|anchor)\s+(\S+)', 1), added_at, removed_at FROM declared),
+began AS (SELECT space, k, min(added_at) AS f FROM live GROUP BY ALL),
+begun AS (SELECT r.*, coalesce(least(b1.f, b2.f), b1.f, b2.f) AS f FROM keyed r LEFT JOIN began b1 ON b1.space = r.space AND b1.k = r.k LEFT JOIN began b2 ON b2.space = r.space AND b2.k = r.k2),
 orphans AS (
-  SELECT 'doc_refs' AS src_table, 'target' AS ref_field, entity_id, pos, period FROM keyed r
+  SELECT 'doc_refs' AS src_table, 'target' AS ref_field, entity_id, pos, period, CASE WHEN f IS NULL THEN 'never' WHEN f > r.seen_at THEN 'not yet' ELSE 'no longer' END AS reason FROM begun r
   WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.space = r.space AND l.k = r.k AND r.seen_at >= l.added_at AND (l.removed_at IS NULL OR r.seen_at < l.removed_at))
     AND NOT EXISTS (SELECT 1 FROM live l WHERE l.space = r.space AND l.k = r.k2 AND r.seen_at >= l.added_at AND (l.removed_at IS NULL OR r.seen_at < l.removed_at))
   UNION
-  SELECT 'doc_refs', 'entity_id', entity_id, pos, period FROM refs r WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.entity_id = r.entity_id)
+  SELECT 'doc_refs', 'entity_id', entity_id, pos, period, 'never' FROM refs r WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.entity_id = r.entity_id)
   UNION
-  SELECT 'doc_params', 'entity_id', entity_id, pos, min(strftime(ingested_at, '%Y-%m')) FROM doc_params r
+  SELECT 'doc_params', 'entity_id', entity_id, pos, min(strftime(ingested_at, '%Y-%m')), 'never' FROM doc_params r
   WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.entity_id = r.entity_id) GROUP BY ALL)
 """
 
@@ -94,5 +96,5 @@ SELECT DISTINCT sarif_id, path AS owner_path, child_kind, pos::int AS pos, CASE
 ORACLE = {
     "p2_found": _NESTED,
     "p1_found": _ORPHANS + "SELECT DISTINCT src_table, ref_field, entity_id, pos FROM orphans",
-    "p1_counts": _ORPHANS + "SELECT src_table, ref_field, period, count(*) AS orphans FROM orphans GROUP BY ALL",
+    "p1_counts": _ORPHANS + "SELECT src_table, ref_field, period, reason, count(*) AS orphans FROM orphans GROUP BY ALL",
 }

@@ -22,7 +22,7 @@ def tables(spark, refs=(), params=(), entities=(), symbols=(), pages=()):
 
 def found(spark, steps=3, **t):
     refs, parents = tables(spark, **t)
-    got = [tuple(r) for r in orphans.track(spark, refs, parents, steps).state.pending.select(*orphans.REF_ID).collect()]
+    got = [tuple(r)[:4] for r in orphans.track(spark, refs, parents, steps).orphans().collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -35,12 +35,12 @@ def test_liveness_and_spellings(spark):
     refs = [
         ref(0, "a::f"), ref(1, " ::a::f(int, char)\t", "SYMBOL"), ref(2, "g"), ref(3, "g", seen=9), ref(4, "g", seen=12), ref(5, "h(int)"), ref(6, "h"), ref(7, None), ref(8, " \n"),
         ref(9, "pg", "Page"), ref(10, "s1", "section"), ref(11, "s1", "anchor"), ref(12, "late"), ref(13, "::pg", "page"), ref(14, "a::f", seen=None), ref(15, "x", "nokind"), ref(0, "a::f", arrived=8),
-        ref(16, "a::f", owner="gone"), ref(17, "a::f", owner=None), ref(18, "w" * 50000),
+        ref(19, "a::f"), ref(19, "other", arrived=7), ref(16, "a::f", owner="gone"), ref(17, "a::f", owner=None), ref(18, "w" * 50000),
     ]
     symbols = [("a::f", day(1), None, day(2)), ("g", day(1), day(9), day(2)), ("g", day(11), None, day(12)), ("h(int)", day(1), None, day(1)), ("late", day(1), None, day(20)), (None, day(1), None, day(1))]
     pages = [("pg", "text\r\n  @section s1 Title\r\nno @anchor s2 x\n\\anchor s3", day(1), None, day(3)), (None, None, day(1), None, day(3))]
     params = [("e", 0, day(3)), ("gone", 1, day(4)), ("gone", 1, day(5))]
-    want = {("doc_refs", "target", "e", p) for p in (3, 6, 11, 13, 14, 15, 18)}
+    want = {("doc_refs", "target", "e", p) for p in (3, 6, 11, 13, 14, 15, 18, 19)}
     want |= {("doc_refs", "entity_id", "gone", 16), ("doc_refs", "entity_id", None, 17), ("doc_params", "entity_id", "gone", 1)}
     for steps in (1, 3):
         assert found(spark, steps, refs=refs, params=params, entities=[("e", day(1)), ("e", day(2)), (None, day(1))], symbols=symbols, pages=pages) == want
@@ -62,8 +62,31 @@ def test_arrivals_resolve_and_deletions_reopen(spark):
     assert [s.where("ref_field = 'target'").count() for s in t.snapshots] == [0, 1]
 
 
+def test_reasons(spark):
+    refs, parents = tables(spark, refs=[ref(0, "old"), ref(1, "new"), ref(2, "none"), ref(3, "f()")], entities=[("e", day(1))], symbols=[("old", day(1), day(3), day(1)), ("new", day(8), None, day(8)), ("f", day(1), day(2), day(1)), ("f()", day(9), None, day(9))])
+    got = orphans.track(spark, refs, parents, 2)
+    assert {r["pos"]: r["reason"] for r in got.orphans().collect()} == {0: "no longer", 1: "not yet", 2: "never", 3: "no longer"}
+    assert {(r["period"], r["reason"], r["orphans"]) for r in got.counts().collect()} == {("2024-01", "no longer", 2), ("2024-01", "not yet", 1), ("2024-01", "never", 1)}
+
+
 def test_hot_target_and_empty_tables(spark):
     refs = [ref(i, "hot", seen=5 if i % 2 else 1) for i in range(400)] + [ref(1000 + i, f"k{i}") for i in range(300)]
     got = found(spark, refs=refs, entities=[("e", day(1))], symbols=[("hot", day(3), None, day(4))])
     assert got == {("doc_refs", "target", "e", i) for i in [*range(0, 400, 2), *range(1000, 1300)]}
     assert found(spark) == set()
+
+
+def test_resume_and_streams(spark, tmp_path):
+    from marginalia.streaming.orphans import follow
+
+    refs, parents = tables(spark, refs=[ref(0, "k"), ref(1, "late")], entities=[("e", day(1))], symbols=[("k", day(1), None, day(1))])
+    refs.write.parquet(str(tmp_path / "refs"))
+    parents.write.parquet(str(tmp_path / "parents"))
+    root = f"file://{tmp_path}/state"
+    stream = lambda name, ddl: spark.readStream.schema(ddl).parquet(str(tmp_path / name))
+    follow(orphans.OrphanTracker(spark, root), stream("refs", orphans.REFS), stream("parents", orphans.PARENTS), str(tmp_path / "cp"))
+    again = orphans.OrphanTracker.resume(spark, root)
+    assert again.state.number == 2 and {r["pos"] for r in again.state.pending.collect()} == {1}
+    again.step(refs.limit(0), tables(spark, symbols=[("late", day(1), None, day(9))])[1])
+    assert again.state.pending.count() == 0
+    assert orphans.OrphanTracker.resume(spark, f"file://{tmp_path}/none").state.number == 0
