@@ -54,6 +54,7 @@ class Node:
     text: str | None = None
     doc: str | None = None
     doc_trailing: bool = False
+    requires: str | None = None
     doc_near: str | None = None  # the documentation comment next before the declaration, whatever stands between them but code
     begin_column: int = 1
 
@@ -279,6 +280,7 @@ class Parser:
         name_at = paren = None  # of a function: first token of its name, its opening parenthesis
         name = ""
         assigned = False
+        self.requires = None
         end = len(self.toks)
         body = None
         while j < end:
@@ -293,6 +295,12 @@ class Parser:
                         tparams += self._tparams(j + 2, close)
                         j = close + 1
                         continue
+                if t.text == "requires" and (tparams or paren is not None):
+                    k = self._constraint(j + 1)
+                    last = self.toks[max(j, min(k, len(self.toks)) - 1)]
+                    self.requires = self.text[t.start + len(t.text) : last.start + len(last.text)].strip() or None
+                    j = max(k, j + 1)
+                    continue
                 if t.text == "operator" and paren is None and not assigned:
                     k, words = j + 1, []
                     if self.is_(k, "(") and self.is_(k + 1, ")"):
@@ -388,6 +396,36 @@ class Parser:
         if self.i == begin:
             self.i += 1
 
+    def _constraint(self, j: int) -> int:
+        """From behind ``requires`` to what follows the constraint: terms joined by ``&&`` or ``||``."""
+        while j < len(self.toks):
+            while self.is_(j, "!"):
+                j += 1
+            if self.is_(j, "requires"):
+                j += 1
+                if self.is_(j, "("):
+                    j = self.match(j) + 1
+                if self.is_(j, "{"):
+                    j = self.match(j) + 1
+            elif self.is_(j, "("):
+                j = self.match(j) + 1
+            elif j < len(self.toks) and self.toks[j].kind in ("id", "num"):
+                j += 1
+                while True:
+                    if self.is_(j, "<"):
+                        close = self.angle(j)
+                        if close is None:
+                            break
+                        j = close + 1
+                    elif self.is_(j, "::"):
+                        j += 2
+                    else:
+                        break
+            if not (self.is_(j, "&&") or self.is_(j, "||")):
+                return j
+            j += 1
+        return j
+
     def _initializers(self, j: int) -> int:
         """From behind the colon of a constructor to its body."""
         while j < len(self.toks):
@@ -443,6 +481,7 @@ class Parser:
             self.toks[begin].start, end + 1, parent=cls, depth=0 if cls is None else cls.depth + 1, access=access if method else None, return_type=raw_type or ("void" if method else None), tparams=tparams, attributes=attributes,
         )
         node.params = self._params(paren + 1, self.match(paren))
+        node.requires = self.requires
         marks = {"static": "is_static", "inline": "is_inline", "virtual": "is_virtual", "explicit": "is_explicit", "constexpr": "is_constexpr", "extern": "is_extern", "friend": "is_friend"}
         node.flags |= {marks[w] for w in words if w in marks}
         late = {"const": "is_const", "noexcept": "is_noexcept", "override": "is_override", "final": "is_final", "default": "is_default", "delete": "is_deleted", "volatile": "is_volatile"}
@@ -567,6 +606,7 @@ class Parser:
             kind, name, qualified, ns, self.lines.line(place), self.lines.column(place), self.lines.line(self.toks[begin].start), self.lines.line(self.toks[close].start), self.toks[begin].start, self.toks[close].start + 1,
             parent=cls, depth=0 if cls is None else cls.depth + 1, access=access, tparams=tparams, attributes=attributes,
         )
+        node.requires = self.requires
         if typedef:
             node.flags.add("is_typedef")
         if keyword == "enum":
@@ -618,7 +658,10 @@ class Parser:
             self.nodes.append(node)
 
         ids = [k for k in head if self.toks[k].kind == "id"]
-        if words[0] == "typedef":
+        if words[0] == "friend":
+            if len(ids) > 1:
+                add("friend", self.toks[ids[-1]].text, ids[-1], self._type_text(head[1:]))
+        elif words[0] == "typedef":
             whole = [self.toks[k] for k in range(head[0] + 1, last)]
             pointer = re.search(r"\(\s*\*\s*(\w+)\s*\)", self.text[self.toks[head[0]].start : end])
             if pointer:

@@ -63,7 +63,7 @@ def rows_of(module: str, content: str, cpp: bool) -> list[dict]:
             "entity_id": own, "parent_id": ids.get(id(node.parent)) if node.parent is not None else None, "module": module, "kind": node.kind, "name": node.name, "qualified_name": node.qualified, "namespace": node.namespace,
             "access": node.access, "method_kind": _kind_of(node), "operator_symbol": node.name.removeprefix("operator").strip() if node.name.startswith("operator") else None,
             "return_type": node.return_type if node.kind in ("function", "method") else None, "underlying": node.text if node.kind in ("typedef", "type_alias") else node.return_type if node.kind == "enum" else node.text if node.kind in ("field", "variable") else None,
-            "constraint_text": node.text if node.kind == "concept" else None, "body": node.text if node.kind == "macro" else None, "requires_clause": None, "flags": [(f, True) for f in sorted(node.flags)],
+            "constraint_text": node.text if node.kind == "concept" else None, "body": node.text if node.kind == "macro" else None, "requires_clause": node.requires, "flags": [(f, True) for f in sorted(node.flags)],
             "line": node.line, "col_no": node.begin_column, "ord": n, "depth": node.depth, "doc": doccomment.parse(text), "params": [{"name": p.name, "type_str": p.type, "default_value": p.default} for p in node.params],
             "tparams": [{"name": p.name, "kind": _tparam_kind(p.type), "is_variadic": "..." in p.type, "default_value": p.default} for p in node.tparams], "enum_values": [{"name": a, "text": b} for a, b in node.values],
             "bases": [{"name": a, "access": b, "is_virtual": c} for a, b, c in node.bases], "attributes": [{"name": a.group(1), "argument": a.group(2)} for a in attributes if a], "signature": node.text if node.kind in ("function", "method") else None,
@@ -125,7 +125,7 @@ def headers(sources: DataFrame, max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
 
 
 def entities(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("kind").isin("include", "field", "variable")).drop("params", "tparams", "enum_values", "bases", "attributes", "signature")
+    return parsed.where(~F.col("kind").isin("include", "field", "variable", "friend")).drop("params", "tparams", "enum_values", "bases", "attributes", "signature")
 
 
 def _children(parsed: DataFrame, column: str) -> DataFrame:
@@ -160,7 +160,9 @@ def fields(parsed: DataFrame) -> DataFrame:
 
 
 def friends(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.coalesce(F.col("flags")["is_friend"], F.lit(False))).select(F.col("parent_id").alias("entity_id"), F.col("ord").alias("pos"), F.lit("function").alias("kind"), "name", "signature")
+    """Friends of classes: functions with their signature, and classes."""
+    functions = parsed.where(F.coalesce(F.col("flags")["is_friend"], F.lit(False))).select(F.col("parent_id").alias("entity_id"), F.col("ord").alias("pos"), F.lit("function").alias("kind"), "name", "signature")
+    return functions.unionByName(parsed.where("kind = 'friend'").select(F.col("parent_id").alias("entity_id"), F.col("ord").alias("pos"), F.lit("class").alias("kind"), "name", F.lit(None).cast("string").alias("signature")))
 
 
 def doc_params(parsed: DataFrame) -> DataFrame:

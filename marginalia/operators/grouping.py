@@ -48,9 +48,10 @@ def existence(entities: DataFrame) -> DataFrame:
 
 
 def collected(entities: DataFrame, field: str) -> DataFrame:
-    """Todos or bugs of functions, classes, methods, structs and macros: file, entity_name, line (0 for methods), pos, text."""
+    """Todos, bugs or tests of functions, classes, methods, structs and macros: file, entity_name, line (0 for methods), pos, text."""
     own = entities.where(F.col("kind").isin("function", "class", "method", "struct", "macro"))
-    return own.select(F.col("module").alias("file"), F.col("qualified_name").alias("entity_name"), F.when(F.col("kind") == "method", 0).otherwise(F.col("line")).alias("line"), "ord", F.posexplode(f"doc.{field}").alias("pos", "text"))
+    items = F.transform("doc.tests", lambda t: F.concat(t["name"], F.coalesce(F.concat(F.lit(" ("), t["file"], F.lit(")")), F.lit("")))) if field == "tests" else F.col(f"doc.{field}")
+    return own.select(F.col("module").alias("file"), F.col("qualified_name").alias("entity_name"), F.when(F.col("kind") == "method", 0).otherwise(F.col("line")).alias("line"), "ord", F.posexplode(items).alias("pos", "text"))
 
 
 def headings(rows: DataFrame, columns: list[str], order: list[str], partition: list[str]) -> DataFrame:

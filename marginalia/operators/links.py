@@ -43,6 +43,12 @@ def resolve(refs: DataFrame, symbols: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*refs.columns, how.alias("resolved_as"), link.alias("link"))
 
 
+def param_types(params: DataFrame, doc_params: DataFrame) -> DataFrame:
+    """Documented parameters with the type of the first parameter of that name; null if there is none."""
+    typed = params.groupBy("entity_id", "name").agg(F.min_by("type_str", "pos").alias("type_str"))
+    return doc_params.join(typed, ["entity_id", "name"], "left").select("entity_id", "pos", "name", "type_str", "description")
+
+
 def rewrite(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Texts (text_id, text) with every ``@ref target`` as a link, or in backticks if it has none.
 

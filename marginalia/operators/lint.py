@@ -146,6 +146,12 @@ def issues(entities: DataFrame, symbols: DataFrame | None, config: Config | None
     return with_severity(found, config.severities).join(place, "entity_id").select(*ISSUES)
 
 
+def report_lines(found: DataFrame) -> DataFrame:
+    """Issues as text, one line each, with the file to order by."""
+    hint = F.coalesce(F.concat(F.lit(" ("), "suggestion", F.lit(")")), F.lit(""))
+    return found.select("file", "line", F.concat(F.col("file"), F.lit(":"), F.greatest(F.col("line"), F.lit(1)).cast("string"), F.lit(":1: "), "severity", F.lit(": "), "message", hint, F.lit(" ["), "code", F.lit("]")).alias("text"))
+
+
 def counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("issues"))
 

@@ -76,7 +76,7 @@ def doc_text() -> Column:
 
 def declaration_text(parsed: DataFrame, hide: list[str] = ("detail", "internal", "impl"), patterns: list[str] | None = None) -> DataFrame:
     """entity_id, parent_id, module, kind, ord and ``md`` of every declaration that is shown."""
-    own = parsed.where(~F.col("kind").isin("include", "field", "variable") & ~hidden(list(hide), patterns) & (F.coalesce(F.col("access"), F.lit("public")) != "private"))
+    own = parsed.where(~F.col("kind").isin("include", "field", "variable", "friend") & ~hidden(list(hide), patterns) & (F.coalesce(F.col("access"), F.lit("public")) != "private"))
     level = F.when(F.col("kind") == "method", "#### ").otherwise("### ")
     values = F.when(F.col("kind") == "enum", _list(F.col("enum_values"), "Values", lambda v: F.concat(F.lit("- `"), v["name"], F.lit("`"), F.coalesce(F.concat(F.lit(" = "), v["text"]), F.lit(""))))).otherwise(F.lit(""))
     bases = F.when(F.size("bases") > 0, F.concat(F.lit("```mermaid\nclassDiagram\n"), F.array_join(F.transform("bases", lambda b: F.concat(F.lit("    "), class_simple_name(b["name"]), F.lit(" <|-- "), F.col("name"))), "\n"), F.lit("\n```\n\n"))).otherwise(F.lit(""))
@@ -109,9 +109,9 @@ def index_page(parsed: DataFrame) -> DataFrame:
 
 
 def list_pages(parsed: DataFrame) -> DataFrame:
-    """Todos and bugs of each file, with a heading for each declaration."""
+    """Todos, bugs and tests of each file, with a heading for each declaration."""
     out = None
-    for field, title in (("todos", "TODO"), ("bugs", "BUGS")):
+    for field, title in (("todos", "TODO"), ("bugs", "BUGS"), ("tests", "TESTS")):
         rows = grouping.headings(grouping.collected(parsed, field), ["entity_name"], ["ord", "pos"], ["file"])
         md = F.concat(F.when(F.col("new_entity_name"), F.concat(F.lit("### "), F.col("entity_name"), F.lit("\n\n"))).otherwise(F.lit("")), F.lit("- "), F.col("text"), F.lit("\n"))
         pages = rows.groupBy("file").agg(_joined(F.struct("ord", "pos", md.alias("md"))).alias("_md")).select(F.concat(F.lit(f"{title}/"), stem(F.col("file")), F.lit(".md")).alias("path"), F.concat(F.lit(f"# {title}\n\n## "), F.col("file"), F.lit("\n\n"), F.col("_md")).alias("content"))

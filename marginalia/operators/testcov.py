@@ -57,6 +57,18 @@ def report_lines(missing: DataFrame) -> DataFrame:
     return missing.select(F.concat(F.col("source_file"), F.lit(":1:1: warning: "), F.col("kind"), F.lit(" '"), F.col("name"), F.lit("' has no tests")).alias("text"))
 
 
+def report_json(numbers: DataFrame) -> DataFrame:
+    """The total as JSON text."""
+    return numbers.where("kind is null").select(F.to_json(F.struct(F.struct(F.round("percentage", 1).alias("percentage"), "tested", "total").alias("coverage"))).alias("json"))
+
+
+def sarif_results(missing: DataFrame) -> DataFrame:
+    """A SARIF result of the rule TCOV001 for each symbol without tests."""
+    text = F.concat("kind", F.lit(" '"), "name", F.lit("' has no tests"))
+    place = F.array(F.struct(F.struct(F.struct(F.col("source_file").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
+    return missing.select("name", F.to_json(F.struct(F.lit("TCOV001").alias("ruleId"), F.lit("warning").alias("level"), F.struct(text.alias("text")).alias("message"), place.alias("locations"))).alias("result"))
+
+
 def diagnostics(missing: DataFrame) -> DataFrame:
     """Hints for what isn't tested."""
     return missing.select(F.col("source_file").alias("file"), F.lit(1).alias("line"), F.lit("hint").alias("severity"), F.lit("T001").alias("code"), F.concat(F.lit("No tests for '"), F.col("name"), F.lit("'")).alias("message"))

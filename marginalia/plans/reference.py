@@ -127,7 +127,7 @@ def empty_brief(spark, d):
     return lint.single(lint.checked(entities(spark, d), lint.Config()), lint.Config()).where("code = 'W002'").select("entity_id")
 
 
-@query(f"""{WITH} SELECT entity_id, strlen(doc.brief) AS bytes FROM ents WHERE doc.brief <> '' AND NOT regexp_matches(doc.brief, '[.!?]$') AND {_CHECKED}""")
+@query(f"""{WITH} SELECT entity_id, strlen(doc.brief)::int AS bytes FROM ents WHERE doc.brief <> '' AND NOT regexp_matches(doc.brief, '[.!?]$') AND {_CHECKED}""")
 def brief_no_period(spark, d):
     own = lint.checked(entities(spark, d), lint.Config())
     hit = lint.single(own, lint.Config(require_brief_period=True)).where("code = 'I002'").select("entity_id")
@@ -139,7 +139,7 @@ def glob_exclude(spark, d):
     return table(spark, d, "part").where(~exprs.glob_any(F.col("p_name"), ["*widget*", "c?l*"])).select("p_partkey", "p_name")
 
 
-@query(f"""{WITH} SELECT path, regexp_matches(path, '\\.(cpp|cxx|cc|hpp|hxx|hh|C|H)$') AS cpp, strlen(content) AS bytes FROM files WHERE regexp_matches(path, '\\.(h|hpp|hxx|hh|H)$') AND strlen(content) <= 10485760""")
+@query(f"""{WITH} SELECT path, regexp_matches(path, '\\.(cpp|cxx|cc|hpp|hxx|hh|C|H)$') AS cpp, strlen(content)::int AS bytes FROM files WHERE regexp_matches(path, '\\.(h|hpp|hxx|hh|H)$') AND strlen(content) <= 10485760""")
 def header_files(spark, d):
     return extract.headers(sources(spark, d)).select("path", exprs.is_cpp(F.col("path")).alias("cpp"), F.octet_length("content").alias("bytes"))
 
@@ -147,7 +147,7 @@ def header_files(spark, d):
 @query(f"""{WITH}, q AS (SELECT DISTINCT regexp_extract(target, '([^:]*)$', 1) AS query FROM doc_refs),
 n AS (SELECT DISTINCT regexp_extract(lookup_key, '([^:(]*)(\\(.*)?$', 1) AS name FROM symbols),
 qs AS (SELECT query FROM q WHERE strlen(query) BETWEEN 1 AND 20 AND query NOT IN (SELECT name FROM n)), ns AS (SELECT name FROM n WHERE strlen(name) BETWEEN 1 AND 20)
-SELECT query, b.n AS suggestion, b.d AS distance FROM (SELECT query, min(struct_pack(d := levenshtein(query, name), n := name)) AS b FROM qs, ns
+SELECT query, b.n AS suggestion, b.d::int AS distance FROM (SELECT query, min(struct_pack(d := levenshtein(query, name), n := name)) AS b FROM qs, ns
 WHERE abs(length(query) - length(name)) <= 3 AND levenshtein(query, name) <= 3 GROUP BY query)""")
 def did_you_mean(spark, d):
     names = table(spark, d, "symbols").select(F.regexp_extract("lookup_key", r"([^:(]*)(\(.*)?$", 1).alias("name")).distinct()

@@ -63,7 +63,7 @@ def module_documents(parsed: DataFrame) -> DataFrame:
         "ord", F.struct("name", F.col("return_type").alias("returnType"), F.col("access"), F.col("method_kind").alias("kind"), flag("is_static").alias("isStatic"), flag("is_virtual").alias("isVirtual"), flag("is_const").alias("isConst"), args.alias("params"), doc.alias("doc")).alias("m"),
     ))).alias("_m"))
     field = parsed.where("kind = 'field'").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("name", F.col("underlying").alias("type"), "access").alias("f")))).alias("_f"))
-    full = parsed.where("kind not in ('method', 'field', 'include', 'union', 'variable')").join(method.withColumnRenamed("parent_id", "entity_id"), "entity_id", "left").join(field.withColumnRenamed("parent_id", "entity_id"), "entity_id", "left")
+    full = parsed.where("kind not in ('method', 'field', 'include', 'union', 'variable', 'friend')").join(method.withColumnRenamed("parent_id", "entity_id"), "entity_id", "left").join(field.withColumnRenamed("parent_id", "entity_id"), "entity_id", "left")
     body = F.to_json(F.struct(
         F.col("name"), location.alias("location"), F.col("return_type").alias("returnType"), F.when(F.col("kind").isin("function", "macro"), args).alias("params"), F.col("underlying"), F.col("body"), F.col("constraint_text").alias("constraint"),
         F.transform("_m", lambda x: x["m"]).alias("methods"), F.transform("_f", lambda x: x["f"]).alias("fields"), F.when(F.col("kind") == "enum", F.col("enum_values")).alias("values"), F.when(F.col("kind") == "class", F.col("bases")).alias("baseClasses"), doc.alias("doc"),

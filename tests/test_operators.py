@@ -205,3 +205,15 @@ def test_merge(spark):
     b = spark.createDataFrame([("f", 1, "m"), ("f", 2, "m")], "file string, line int, message string")
     assert grouping.merge_diagnostics(a, b).count() == 2
     assert F is not None
+
+
+def test_more_reports(parsed, spark):
+    own = extract.entities(parsed)
+    found = lint.issues(own, None, params=extract.params(parsed), doc_params=extract.doc_params(parsed))
+    assert lint.report_lines(found).where("text like 'a/x.hpp:14:1: warning: no documentation [W001]'").count() == 1
+    types = {(r["name"], r["type_str"]) for r in links.param_types(extract.params(parsed), extract.doc_params(parsed)).collect()}
+    assert ("mode", "int") in types and ("nme", None) in types
+    missing = spark.createDataFrame([("f", "function", "f.h")], "name string, kind string, source_file string")
+    assert "TCOV001" in testcov.sarif_results(missing).first()["result"]
+    tests = extract.nodes(spark.createDataFrame([("t.h", "/** A function. @brief b\n * @test one file.cpp\n * @todo two\n * @param x y */\nint f(int x);")], "path string, content string"))
+    assert {r["text"] for r in grouping.collected(extract.entities(tests), "tests").collect()} == {"one (file.cpp)"} and render.list_pages(extract.entities(tests)).count() == 2

@@ -99,3 +99,10 @@ def test_pages_and_groups():
     assert doccomment.parse_page("@mainpage Hello\nx")["is_mainpage"] and doccomment.parse_page("@page only")["title"] == "only"
     assert doccomment.parse_group("@defgroup io Input\nReads things.") == {"id": "io", "name": "Input", "brief": "Reads things."}
     assert doccomment.parse_group("@addtogroup io")["id"] == "io" and doccomment.parse_group("x") is None
+
+
+def test_constraints_and_friends():
+    code = "template <typename T> requires Sized<T> && (sizeof(T) > 2) T* get(T t);\ntemplate <class T> void put(T t) requires requires(T x) { x.a(); } { body(); }\nclass A { friend class B; friend int f(A a); };\nconcept C = true;"
+    f = {n.name: n for n in by(code, "function")}
+    assert f["get"].requires == "Sized<T> && (sizeof(T) > 2)" and f["get"].return_type == "T*" and f["put"].requires.startswith("requires(T x) {") and "has_body" in f["put"].flags
+    assert [n.name for n in by(code, "friend")] == ["B"] and [n.name for n in by(code, "method")] == ["f"]
