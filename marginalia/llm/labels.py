@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.langtext import SENTENCE_CJK, SENTENCE_WORDS, labelled_sample, labels, paragraphs, prose
+from marginalia.runtime import materialize
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -30,6 +32,7 @@ ALPHA, BETA, L1, L2, PASSES = 0.1, 1.0, 0.01, 0.05, 2
 DOUBT = 0.01
 #: Characters handled at a time, so that a batch's arrays stay small.
 CHUNK = 200_000
+NATURALS = "doc_id bigint, seg_no int, label string, text_chars int, natural string"
 SEGMENTS = "doc_id bigint, seg_no int, label string, text_chars int, lang string, confidence double"
 
 
@@ -216,34 +219,53 @@ def _natural(text: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("seg_no", pa.int32()), ("label", pa.string()), ("text_chars", pa.int32()), ("natural", pa.string())])
+    for batch in batches:
+        rows, chars = [], 0
+        for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns)):
+            for n, p, natural in _natural(text):
+                rows.append((doc_id, n, label, len(p), natural))
+                chars += len(natural)
+            if chars > 4 * CHUNK:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows, chars = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def naturals(documents: DataFrame) -> DataFrame:
+    """The paragraphs that hold a sentence, with their natural-language words."""
+    return documents.select("doc_id", "text", "lang").mapInArrow(_split, NATURALS)
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about CHUNK characters in the last column."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = int(sizes[at - 1]) if at else 0
+            end = min(max(at + 1, int(np.searchsorted(sizes, done + CHUNK))), at + (1 << (32 - BITS)) - 1, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(1 << BITS, np.int64)
     total = 0
-
-    def count(texts):
-        keys = np.concatenate([doc.astype(np.uint32) << np.uint32(BITS) | bucket.astype(np.uint32) for doc, bucket in ngrams(texts)])
+    for part in _portions(batches):
+        keys = np.concatenate([doc.astype(np.uint32) << np.uint32(BITS) | bucket.astype(np.uint32) for doc, bucket in ngrams(part.column(0).to_pylist())])
         keys.sort()
-        return np.bincount(keys[np.r_[True, keys[1:] != keys[:-1]]] & np.uint32((1 << BITS) - 1), minlength=1 << BITS)
-
-    pending, chars = [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for _, _, natural in _natural(text):
-                pending.append(natural)
-                chars += len(natural)
-                total += 1
-                if chars > CHUNK or len(pending) >> (32 - BITS - 1):
-                    df += count(pending)
-                    pending, chars = [], 0
-    if pending:
-        df += count(pending)
+        df += np.bincount(keys[np.r_[True, keys[1:] != keys[:-1]]] & np.uint32((1 << BITS) - 1), minlength=1 << BITS)
+        total += part.num_rows
     at = np.flatnonzero(df)
     yield pa.record_batch([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[df[at], total])], names=["bucket", "df"])
 
 
-def inverse_frequencies(documents: DataFrame) -> np.ndarray:
-    """IDF of each bucket over the paragraphs of all documents. At most 2^BITS + 1 rows reach the driver, whatever the corpus."""
-    rows = documents.select("text").mapInArrow(_frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+def inverse_frequencies(natural: DataFrame) -> np.ndarray:
+    """IDF of each bucket over all paragraphs of ``naturals``. At most 2^BITS + 1 rows reach the driver, whatever the corpus."""
+    rows = natural.select("natural").mapInArrow(_frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     bucket, df = rows.column("bucket").to_numpy(), rows.column("df").to_numpy()
     total = int(df[bucket == -1].sum())
     idf = np.full(1 << BITS, np.log(1 + total) + 1, np.float32)
@@ -256,35 +278,27 @@ def _classifier(model: Model):
     schema = pa.schema([("doc_id", pa.int64()), ("seg_no", pa.int32()), ("label", pa.string()), ("text_chars", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, chars = [], 0
-
-        def flush():
-            best, sure = model.predict([p[-1] for p in pending])
-            cols = list(zip(*[p[:-1] for p in pending]))
-            return pa.record_batch([*(pa.array(c, f.type) for c, f in zip(cols, schema)), pa.array([model.langs[b] for b in best]), pa.array(sure.astype(np.float64))], schema=schema)
-
-        for batch in batches:
-            for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                for n, p, natural in _natural(text):
-                    pending.append((doc_id, n, label, len(p), natural))
-                    chars += len(natural)
-                    if chars > CHUNK:
-                        yield flush()
-                        pending, chars = [], 0
-        if pending:
-            yield flush()
+        names = pa.array(model.langs)
+        for part in _portions(batches):
+            best, sure = model.predict(part.column(4).to_pylist())
+            yield pa.record_batch([*part.columns[:4], names.take(pa.array(best)), pa.array(sure.astype(np.float64))], schema=schema)
 
     return run
 
 
-def train(documents: DataFrame, aliases: DataFrame) -> Model:
-    return fit(labelled_sample(documents, aliases), inverse_frequencies(documents))
+def train(documents: DataFrame, aliases: DataFrame, natural: DataFrame | None = None) -> Model:
+    return fit(labelled_sample(documents, aliases), inverse_frequencies(natural if natural is not None else naturals(documents)))
 
 
 def segments(documents: DataFrame, aliases: DataFrame, model: Model | None = None) -> DataFrame:
-    """Language and confidence of every paragraph that has one, with the language ``named`` that its document's label names."""
-    model = model or train(documents, aliases)
-    found = documents.select("doc_id", "text", "lang").mapInArrow(_classifier(model), SEGMENTS)
+    """Language and confidence of every paragraph that has one, with the language ``named`` that its document's label names.
+
+    Texts are cleaned of code once: the natural words go to the shared folder, compressed, and are counted and classified from there."""
+    natural = naturals(documents)
+    if model is None:
+        natural = materialize(natural, "naturals")
+        model = train(documents, aliases, natural)
+    found = natural.mapInArrow(_classifier(model), SEGMENTS)
     named = F.broadcast(labels(aliases))  # a row for each spelling of a label
     return found.join(named, F.col("label") == F.col("_label"), "left").select("doc_id", "seg_no", "label", F.col("_named").alias("named"), "text_chars", "lang", "confidence")
 

@@ -58,7 +58,7 @@ def test_held_out_sentences(regression, bayes):
 def test_held_out_labels(tables):
     sample = labelled_sample(*tables, docs=60)
     train = {k: v[::2] for k, v in sample.items()}
-    model = labels.fit(train, labels.inverse_frequencies(tables[0]))
+    model = labels.fit(train, labels.inverse_frequencies(labels.naturals(tables[0])))
     texts = [(k, prose(p)[0]) for k, v in sample.items() for t in v[1::2] for p in paragraphs(t) if prose(p)[1] >= 4 or prose(p)[2] >= 6]
     best, _ = model.predict([t for _, t in texts])
     assert np.mean([model.langs[b] == k for b, (k, _) in zip(best, texts)]) > 0.75  # labels themselves are wrong in part
@@ -77,11 +77,12 @@ def test_segments(spark, regression, tables):
     docs = {r["doc_id"]: r for r in labels.documents_languages(seg).collect()}
     assert docs[1]["mixed"] and not docs[6]["mixed"]
     assert labels.segments(spark.createDataFrame([], schema), tables[1], regression).collect() == []
+    assert labels.segments(spark.createDataFrame([], schema), tables[1]).collect() == []
 
 
 def test_frequencies_cover_all_documents(spark):
     texts = ["the quick brown fox jumps", "the quick brown dog\n\nno one here to see", None, ""]
-    idf = labels.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    idf = labels.inverse_frequencies(labels.naturals(spark.createDataFrame([(n, t, None) for n, t in enumerate(texts)], "doc_id long, text string, lang string")))
     want = np.zeros(1 << labels.BITS, int)
     segs = ["the quick brown fox jumps", "the quick brown dog", "no one here to see"]
     for s in segs:

@@ -11,7 +11,7 @@ def plan(df):
 
 def test_no_shuffle_of_texts(spark):
     assert "Exchange" not in plan(queries.p6_ids(spark, D))
-    for name in ("p3_found", "p4_found", "p7_found", "p8_found"):
+    for name in ("p3_found", "p4_found", "p7_found"):
         text = plan(queries.QUERIES[name](spark, D))
         below = text[text.index("MapInArrow") :]
         assert "Exchange" not in below[: below.index("FileScan")], name  # all shuffles are above the operator, on its small rows
