@@ -85,7 +85,7 @@ def index(entities: DataFrame) -> DataFrame:
 def index_ordered(rows: DataFrame) -> DataFrame:
     """The index with ``new_letter``; letters are few, so ties with a letter's first name are found by an aggregate, not by one big window."""
     first = rows.groupBy("letter").agg(F.min(F.struct("qualified_name", "entity_id")).alias("_f"))
-    return rows.join(F.broadcast(first), "letter").withColumn("new_letter", F.struct("qualified_name", "entity_id") == F.col("_f")).drop("_f")
+    return rows.join(first, "letter").withColumn("new_letter", F.struct("qualified_name", "entity_id") == F.col("_f")).drop("_f")
 
 
 def merge_diagnostics(lint: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -77,6 +77,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
     return counts.where(F.col("_n") > total.scalar() * share).select(*keys)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which is counted first and no further; else as it is, so that a join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def salt_left(df: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], salts: int = SALTS) -> DataFrame:
     """Add ``_salt``: rows of a hot key get one of ``salts`` values by the hash of ``spread``, all others 0."""
     marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")

@@ -16,6 +16,12 @@ def test_hot_keys_and_salts(spark):
     assert left.join(right, ["k", "_salt"]).count() == 501
 
 
+def test_broadcast_is_checked(spark):
+    df = spark.range(20).withColumnRenamed("id", "a")
+    plan = lambda n: spark.range(50).join(runtime.broadcast_if_small(df, n), F.col("id") == F.col("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(20) and "broadcast" not in plan(19)
+
+
 def test_shared_folder(spark, tmp_path):
     before = runtime.shared_dir(spark)
     assert runtime.shared_dir(spark) == before
