@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.langtext import SENTENCE_CJK, SENTENCE_WORDS, labelled_sample, labels, paragraphs, prose
-from marginalia.runtime import materialize
+from marginalia.runtime import broadcast_if_small, materialize
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -299,7 +299,7 @@ def segments(documents: DataFrame, aliases: DataFrame, model: Model | None = Non
         natural = materialize(natural, "naturals")
         model = train(documents, aliases, natural)
     found = natural.mapInArrow(_classifier(model), SEGMENTS)
-    named = F.broadcast(labels(aliases))  # a row for each spelling of a label
+    named = broadcast_if_small(labels(aliases))  # a row for each spelling of a label
     return found.join(named, F.col("label") == F.col("_label"), "left").select("doc_id", "seg_no", "label", F.col("_named").alias("named"), "text_chars", "lang", "confidence")
 
 

@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.runtime import broadcast_if_small
+
 #: Bounds of the training sample: documents for each language, and characters of each such document.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
 
@@ -108,7 +110,7 @@ def labelled_sample(documents: DataFrame, aliases: DataFrame, docs: int = SAMPLE
     """At most ``docs`` labelled documents of each language, picked by the hash of their ids, cut to ``chars`` characters.
 
     Labels are counted first (a row a language reaches the driver), then the hash range that holds about as many as are wanted is read."""
-    named = documents.where(F.col("text").isNotNull()).join(F.broadcast(labels(aliases)), F.col("lang") == F.col("_label"))
+    named = documents.where(F.col("text").isNotNull()).join(broadcast_if_small(labels(aliases)), F.col("lang") == F.col("_label"))
     counts = {r["_named"]: r["count"] for r in named.groupBy("_named").count().collect()}
     if not counts:
         return {}
