@@ -27,7 +27,7 @@ def calls(used: DataFrame, symbols: DataFrame) -> DataFrame:
     counted = used.groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.min(F.struct("file", "pos")).alias("_first"))
     known = symbols.select("lookup_key", F.col("name").alias("symbol"), "kind")
     hit = counted.join(known, counted["name"] == known["lookup_key"])
-    return hit.groupBy("symbol").agg(F.sum("calls").alias("calls"), F.min("_first").alias("_first"), F.first("kind").alias("kind")).select("symbol", "kind", "calls", F.col("_first.file").alias("first_file"))
+    return hit.groupBy("symbol").agg(F.sum("calls").alias("calls"), F.min("_first").alias("_first"), F.min("kind").alias("kind")).select("symbol", "kind", "calls", F.col("_first.file").alias("first_file"))
 
 
 def canonical(symbols: DataFrame) -> DataFrame:

@@ -374,25 +374,31 @@ def _calls(spark, d):
 # A use stands before one of ``( < { .``, or behind a dot; comments are no uses, strings are.
 _USES = f"""{WITH}, bare AS (SELECT path AS file, regexp_replace(content, '//[^\\n]*|/\\*(?s:.*?)\\*/', ' ', 'g') AS t FROM files WHERE content IS NOT NULL),
 u AS (SELECT file, unnest(regexp_extract_all(t, '(?:[A-Za-z_]\\w*(?:::[A-Za-z_]\\w*)?)\\s*[(<{{.]')) AS u FROM bare),
-n AS (SELECT file, regexp_extract(u, '^([A-Za-z_]\\w*(?:::[A-Za-z_]\\w*)?)', 1) AS name FROM u), m AS (SELECT file, name FROM n UNION ALL SELECT file, split_part(name, '::', 1) FROM n WHERE contains(name, '::'))
-SELECT syms.name AS symbol, count(*) AS calls FROM m JOIN syms ON m.name = lookup_key GROUP BY 1"""
+n AS (SELECT file, regexp_extract(u, '^([A-Za-z_]\\w*(?:::[A-Za-z_]\\w*)?)', 1) AS name FROM u), m AS (SELECT file, name FROM n UNION ALL SELECT file, split_part(name, '::', 1) FROM n WHERE contains(name, '::')),
+calls AS (SELECT syms.name AS symbol, min(kind) AS kind, count(*) AS calls, min(file) AS first_file FROM m JOIN syms ON m.name = lookup_key GROUP BY 1)
+"""
 
 
-@query(_USES)
+@query(_USES + "SELECT symbol, calls FROM calls")
 def call_totals(spark, d):
     return _calls(spark, d).select("symbol", "calls")
 
 
-@query()
+@query(_USES + "SELECT * FROM calls")
 def call_counts(spark, d):
     return _calls(spark, d)
 
 
-@query()
+@query(_USES + """, f AS (SELECT name, min(kind) AS kind FROM syms WHERE kind IN ('function', 'class_type', 'struct_type') GROUP BY 1)
+SELECT f.kind, count(*) AS total, count(symbol) AS tested, round(count(symbol) * 100.0 / count(*), 6)::double AS percentage FROM f LEFT JOIN calls ON symbol = name GROUP BY ROLLUP (f.kind)""")
 def test_stats(spark, d):
-    s = live(spark, d)
-    functions = s.where("kind in ('function', 'class_type', 'struct_type')").select("lookup_key", "kind", "source_file", F.col("name")).dropDuplicates(["name"])
-    return testcov.stats(functions, _calls(spark, d))
+    own = live(spark, d).where("kind in ('function', 'class_type', 'struct_type')").groupBy("name").agg(F.min("kind").alias("kind"))
+    return testcov.stats(own, _calls(spark, d))
+
+
+@query(_USES + "SELECT lookup_key, name FROM syms WHERE name NOT IN (SELECT symbol FROM calls)")
+def untested_symbols(spark, d):
+    return testcov.untested(live(spark, d), _calls(spark, d)).select("lookup_key", "name")
 
 
 @query(_LINT + f""", cov AS (SELECT * FROM (SELECT module AS file, line, CASE WHEN NOT {_HAS_DOCS} THEN 'no documentation' WHEN kind IN ('function', 'method') AND NOT {_CTOR} AND NOT {_VOID} AND doc.returns IS NULL THEN 'missing @return' END AS message FROM ents WHERE {_COUNTED}) WHERE message IS NOT NULL)
