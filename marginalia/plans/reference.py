@@ -117,9 +117,10 @@ def exit_status(spark, d):
     return lint.exit_status(_issues(spark, d), coverage.by_kind(entities(spark, d)), strict=True, min_coverage=80)
 
 
-@query(f"""{WITH} SELECT entity_id, name, count(*) AS times FROM dparams GROUP BY ALL HAVING count(*) > 1""")
+@query(f"""{WITH} SELECT qualified_name, kind, count(*) AS times FROM ents GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_names(spark, d):
-    return doc_params(spark, d).groupBy("entity_id", "name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    """Overloads and homonyms."""
+    return entities(spark, d).groupBy("qualified_name", "kind").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
 @query(f"""{WITH} SELECT entity_id FROM ents WHERE doc IS NOT NULL AND coalesce(doc.brief, '') = '' AND {_CHECKED}""")
@@ -301,15 +302,13 @@ def include_nodes(spark, d):
     return graph.include_nodes(graph.include_edges(extract.includes(sources(spark, d))))
 
 
-# Files of a project include one another by basename; a file's needs are looked for in its own project.
-_NEEDS = _INCLUDES + """, needs AS (SELECT DISTINCT i.module AS path, f.path AS needs FROM inc i JOIN files f ON string_split(i.path, '/')[-1] = string_split(f.path, '/')[-1] AND string_split(i.module, '/')[1] = string_split(f.path, '/')[1] WHERE NOT is_system AND i.module <> f.path)
+# Files include one another by basename; every file of that name counts.
+_NEEDS = _INCLUDES + """, needs AS (SELECT DISTINCT i.module AS path, f.path AS needs FROM inc i JOIN files f ON string_split(i.path, '/')[-1] = string_split(f.path, '/')[-1] WHERE NOT is_system AND i.module <> f.path)
 """
 
 
 def _needs(spark, d):
-    inc, files = extract.includes(sources(spark, d)), sources(spark, d).select("path")
-    project = lambda c: F.substring_index(c, "/", 1)
-    return manifest.dependencies(inc, files).where(project("path") == project("needs"))
+    return manifest.dependencies(extract.includes(sources(spark, d)), sources(spark, d).select("path"))
 
 
 @query(_NEEDS.replace("WITH", "WITH RECURSIVE", 1) + ", up AS (SELECT needs AS start, path AS reached FROM needs UNION SELECT start, n.path FROM up JOIN needs n ON n.needs = reached) SELECT start, reached FROM up")
@@ -592,3 +591,39 @@ def class_diagram(spark, d):
     bases = extract.bases(classes).join(classes.select("entity_id", F.col("qualified_name").alias("child")), "entity_id").select("child", F.col("name").alias("base"), "pos")
     edges = graph.match_bases(nodes, bases)
     return graph.class_diagram(graph.class_nodes(nodes, edges), edges)
+
+
+_TREE = """
+WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+up AS (SELECT src AS start, dst AS reached, 1 AS depth FROM e UNION ALL SELECT start, dst, depth + 1 FROM up JOIN e ON src = reached)
+"""
+
+
+def _tree(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
+    return edge(n, "r", "n_regionkey", "n", "n_nationkey").unionByName(edge(c, "n", "c_nationkey", "c", "c_custkey"))
+
+
+@query(_TREE + "SELECT start, reached, depth::int AS depth FROM up")
+def hierarchy(spark, d):
+    return graph.closure(_tree(spark, d))
+
+
+@query(_TREE + ", p AS (SELECT dst AS child, src AS root FROM e) SELECT a.child, coalesce(b.root, a.root) AS root FROM p a LEFT JOIN p b ON a.root = b.child")
+def hierarchy_roots(spark, d):
+    return graph.first_parent_root(_tree(spark, d).select(F.col("dst").alias("child"), F.col("src").alias("parent"), F.lit(0).alias("pos")))
+
+
+@query(_TREE.replace("WITH RECURSIVE", "WITH RECURSIVE st AS (SELECT 'c' || c_custkey AS path, CASE WHEN c_custkey % 50 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM customer UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 10 = 1 THEN 'modified' ELSE 'unchanged' END FROM nation UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey = 4 THEN 'deleted' ELSE 'unchanged' END FROM region),")
+       + "SELECT DISTINCT path FROM (SELECT path FROM st WHERE status = 'modified' UNION ALL SELECT reached FROM up JOIN st ON st.path = start WHERE status <> 'unchanged')")
+def rebuild_tree(spark, d):
+    """What has to be rebuilt when some of what it needs has changed or gone: customers need their nation, nations their region."""
+    c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
+    name = lambda a, x: F.concat(F.lit(a), F.col(x).cast("string")).alias("path")
+    status = (
+        c.select(name("c", "c_custkey"), F.when(F.col("c_custkey") % 50 == 0, "modified").otherwise("unchanged").alias("status"))
+        .unionByName(n.select(name("n", "n_nationkey"), F.when(F.col("n_nationkey") % 10 == 1, "modified").otherwise("unchanged").alias("status")))
+        .unionByName(r.select(name("r", "r_regionkey"), F.when(F.col("r_regionkey") == 4, "deleted").otherwise("unchanged").alias("status")))
+    )
+    return manifest.rebuild_set(status, _tree(spark, d).select(F.col("dst").alias("path"), F.col("src").alias("needs")))
