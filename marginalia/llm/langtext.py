@@ -21,6 +21,7 @@ PROSE = re.compile(r"""^[(\["'«„“‘¿¡*_-]*([^\W\d_]+(?:['’-][^\W\d_]+)
 _CAMEL = re.compile(r"[a-z][A-Z]")
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _CODE_TAG = re.compile(r"(?s)[@\\](code|verbatim|dot|mermaid)\b.*?(?:[@\\]end\1\b|\Z)")
+#: What may be a line of code; ``uncoded`` decides.
 _CODE_LINE = re.compile(
     r"""^\s*(?:[*/]+\s*)?(?:
       [\w:<>*&,~\s]*[\w:~>]\s*\([^()]*(?:\([^()]*\)[^()]*)*\)[^.!?。]{0,40};       # a call or a prototype
@@ -35,17 +36,94 @@ _CODE_LINE = re.compile(
 _LINK = re.compile(r"\w+://\S+|</?\w[^<>\n]*>|&\w+;")
 
 
+_BREAK = re.compile(r"[(){};]")
+_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"")
+_FIRST = re.compile(r"[\s*/]*([A-Za-z]+)\b(\s*[({])?")
+_WHOLE_LINE = re.compile(r"[\s*/]*(?:#|[{}();\s]+$|\w+(?:\+\+|--);?\s*$)")
+_C_WORDS = frozenset(
+    "auto bool break case catch char class const constexpr continue default delete do double else enum explicit extern final float for friend goto if inline int long "
+    "namespace new noexcept operator override private protected public register return short signed sizeof static struct switch template throw try typedef typename union unsigned using virtual void volatile while".split()
+)
+#: Adjacent words beyond the first that code can hold outside parentheses; ``return`` and the words below have their own bounds.
+_BESIDE, _BESIDE_AFTER = 1, {"return": 2, "do": 0, "else": 0, "case": 0, "goto": 0}
+#: Adjacent words that an argument can hold.
+_IN_ARGUMENT = 3
+
+
+def _runs(text: str) -> list[int]:
+    """Lengths of the runs of adjacent plain words; commas, operators, and words of the C language end a run. A called name (before \\0) ends the run it belongs to."""
+    out, run = [], 0
+    for token in text.split():
+        name, called, _ = token.partition("\0")
+        if name in _C_WORDS or (len(name) > 1 and name.isupper()):
+            plain = False
+        else:
+            plain = (name.lstrip("*&").isidentifier() and run > 0) if called else prose_word(token) is not None
+        if plain:
+            run += 1
+        if run and (not plain or called or token[-1] in ",:"):
+            out.append(run)
+            run = 0
+    return [*out, run] if run else out
+
+
+def _statement(line: str) -> tuple[int, str, list[str]]:
+    """Where the first statement of a line ends, the statement with \\0 for what stands in parentheses, and what stands there."""
+    depth, at, opened, outer, inner = 0, 0, 0, [], []
+    for m in _BREAK.finditer(line):
+        c = m.group()
+        if c == "(":
+            if depth == 0:
+                outer.append(line[at : m.start()])
+                opened = m.end()
+            depth += 1
+        elif c == ")":
+            depth -= depth > 0
+            if depth == 0 and opened:
+                outer.append("\0")
+                inner.append(line[opened : m.start()])
+                at, opened = m.end(), 0
+        elif depth == 0:
+            return m.end(), "".join(outer) + line[at : m.end()], inner
+    return len(line), "".join(outer) + line[opened or at :], inner
+
+
+def _is_statement(told: str, inner: list[str]) -> bool:
+    """Whether a statement is code, by the plain words that stand side by side in it."""
+    told, inner = _STRING.sub('""', told), [_STRING.sub('""', x) for x in inner]
+    if CJK_CHAR.search(told):
+        return False
+    first = _FIRST.match(told.replace("\0", "("))
+    word = first.group(1) if first else ""
+    if word in ("if", "for", "while", "switch") and not first.group(2):
+        return False
+    return sum(n - 1 for n in _runs(told)) <= _BESIDE_AFTER.get(word, _BESIDE) and max((n for x in inner for n in _runs(x)), default=0) <= _IN_ARGUMENT
+
+
+def uncoded(line: str) -> str:
+    """What is left of a line without the statements at its beginning; a sentence that only looks like one stays, with all behind it."""
+    while _CODE_LINE.match(line):
+        if _WHOLE_LINE.match(line):
+            return ""
+        end, told, inner = _statement(line)
+        if not _is_statement(told, inner):
+            break
+        line = line[end:].lstrip(" \t\r*/{}();")
+    return line
+
+
 def is_code(line: str) -> bool:
-    return bool(_CODE_LINE.match(line))
+    """Whether a line is nothing but code."""
+    return bool(_CODE_LINE.match(line)) and not uncoded(line)
 
 
 def without_code(text: str) -> str:
-    """The text without fenced code, code between tags, and lines that are code."""
+    """The text without fenced code, code between tags, and statements at the beginning of lines."""
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
     if "code" in text or "verbatim" in text or "mermaid" in text or "dot" in text:
         text = _CODE_TAG.sub("\n", text)
-    return "\n".join(x for x in text.split("\n") if not is_code(x))
+    return "\n".join(uncoded(x) for x in text.split("\n"))
 
 
 def prose_word(token: str) -> str | None:

@@ -118,3 +118,23 @@ def test_passages(spark, bayes):
     found = codelang.find(spark.createDataFrame(rows, "path string, content string, lang string"), bayes)
     shares = {(r["path"], r["lang"]): r["share"] for r in codelang.shares(codelang.distinct(found)).collect()}
     assert set(shares) == {("p", "en"), ("p", "de"), ("s", "ru")} and all(0 < x <= 1 for x in shares.values()) and shares["s", "ru"] > 0.9
+
+
+def test_prose_that_looks_like_code_stays():
+    for line in (
+        "Note that the clean task may differ from notifyLocalPier(), until somebody closes the session; the empty buoy stays valid. Between both ends nothing moves.",  # a call, then ';'
+        "while the strong buoy was detached; which value does",  # a word of the language first
+        "for the following reasons the old files stay where they are:",
+        "Note that the default value = 5 holds for all files, so take care;",
+    ):
+        assert not is_code(line) and prose(line)[1] >= 4, line
+    assert "stays valid Between both ends nothing moves" in prose("Note that the clean task may differ from notifyLocalPier(), until then; the empty buoy stays valid. Between both ends nothing moves.")[0]
+    assert prose("int f(int x); // adds the two given values\r")[0] == "adds the two given values"
+    for code in ("for (int i = 0; i < n; i++) { a(i); }", "int a = f(x); int b = g(y);", "static int width, height, depth;", "case foo:", "public:", "class widget final : public base {", "void f(const char *x);\r", "EXPORT widget make(int x);", 'log("the file could not be opened");'):
+        assert is_code(code), code
+
+
+def test_paragraph_with_a_call_and_a_semicolon_has_a_language(spark, regression, tables):
+    text = f"Note that the clean task may differ from notifyLocalPier(), until somebody closes the session; the empty buoy stays valid. {HELD['en']}"
+    seg = labels.segments(spark.createDataFrame([(1, text, "ru")], "doc_id bigint, text string, lang string"), tables[1], regression)
+    assert [tuple(r) for r in labels.wrong(seg).collect()] == [(1, 0, "en")]
