@@ -72,6 +72,11 @@ def short_name(name: Column) -> Column:
     return F.substring_index(name, "::", -1)
 
 
+def short_key(key: Column) -> Column:
+    """The short name of a symbol's key; a signature keeps its parameters, whose ``::`` don't count."""
+    return F.regexp_replace(key, r"^[^(]*::", "")
+
+
 def signature(name: Column, types: Column) -> Column:
     """``f(T1, T2)``; without parameters the name alone."""
     return F.when(F.size(types) > 0, F.concat(name, F.lit("("), F.array_join(types, ", "), F.lit(")"))).otherwise(name)

@@ -160,12 +160,25 @@ def did_you_mean(spark, d):
 string_split(lookup_key, '::')[-1] AS short, regexp_matches(lookup_key, '^[A-Za-z0-9_-]+$') AS anchor_id, string_split(source_file, '/')[-1] AS base, regexp_replace(string_split(source_file, '/')[-1], '\\.(h|hpp)$', '') AS title,
 CASE WHEN instr(lookup_key, '_') >= 3 THEN split_part(lookup_key, '_', 1) ELSE 'misc' END AS prefix FROM syms WHERE NOT contains(lookup_key, '(')""")
 def symbol_names(spark, d):
+    """Keys without parameters only, as its SQL has it; ``symbol_names_whole`` has all."""
     k, s = F.col("lookup_key"), F.col("source_file")
     return live(spark, d).where(~F.contains(k, F.lit("("))).select(
         k, exprs.anchor(k).alias("anchor_of"), exprs.index_anchor(k).alias("index_anchor"), exprs.short_name(k).alias("short"), exprs.is_anchor_id(k).alias("anchor_id"), exprs.basename(s).alias("base"), exprs.header_title(s).alias("title"), exprs.prefix_group(k).alias("prefix")
     )
 
 
+@query(f"""{WITH} SELECT lookup_key, translate(lookup_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_ ', 'abcdefghijklmnopqrstuvwxyz--') AS anchor_of, translate(lookup_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS index_anchor,
+CASE WHEN contains(lookup_key, '(') THEN array_to_string(list_concat([string_split(split_part(lookup_key, '(', 1), '::')[-1]], string_split(lookup_key, '(')[2:]), '(') ELSE string_split(lookup_key, '::')[-1] END AS short,
+regexp_matches(lookup_key, '^[A-Za-z0-9_-]+$') AS anchor_id, string_split(source_file, '/')[-1] AS base, regexp_replace(string_split(source_file, '/')[-1], '\\.(h|hpp)$', '') AS title,
+CASE WHEN instr(lookup_key, '_') >= 3 THEN split_part(lookup_key, '_', 1) ELSE 'misc' END AS prefix FROM syms""")
+def symbol_names_whole(spark, d):
+    """As ``symbol_names``, of all keys, signatures too; ``short`` is cut before the parameters, as these may hold ``::`` themselves."""
+    k, s = F.col("lookup_key"), F.col("source_file")
+    return live(spark, d).select(
+        k, exprs.anchor(k).alias("anchor_of"), exprs.index_anchor(k).alias("index_anchor"), exprs.short_key(k).alias("short"), exprs.is_anchor_id(k).alias("anchor_id"), exprs.basename(s).alias("base"), exprs.header_title(s).alias("title"), exprs.prefix_group(k).alias("prefix")
+    )
+
+
 @query(f"""{WITH} SELECT kind, count(*) AS entities FROM ents WHERE kind IN ('function', 'struct', 'union', 'enum', 'typedef') GROUP BY 1""")
 def project_stats(spark, d):
     return grouping.project_stats(entities(spark, d))

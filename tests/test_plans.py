@@ -35,3 +35,13 @@ def test_every_oracle_belongs_to_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["src_table", "ref_field", "entity_id", "pos"] and df.count() >= 0
+
+
+def test_names_of_signatures(spark, tmp_path):
+    from marginalia.plans import reference
+
+    keys = ["n::Box::put_all(std::string, const n::Box&)", "f(std::map<a::B, int>*)", "n::Box::operator()(a::B)", "n::put", "put"]
+    spark.createDataFrame([(k, "function", "a/b.hpp", "", k) for k in keys], "lookup_key string, kind string, source_file string, anchor string, name string").selectExpr("*", "timestamp'2024-01-01' AS added_at").write.parquet(f"{tmp_path}/symbols.parquet")
+    rows = {r["lookup_key"]: r for r in reference.QUERIES["symbol_names_whole"](spark, str(tmp_path)).collect()}
+    assert [rows[k]["short"] for k in keys] == ["put_all(std::string, const n::Box&)", "f(std::map<a::B, int>*)", "operator()(a::B)", "put", "put"]
+    assert rows[keys[0]]["anchor_of"] == "n::box::put-all(std::string,-const-n::box&)" and not rows[keys[0]]["anchor_id"] and rows[keys[3]]["title"] == "b"
