@@ -223,7 +223,8 @@ def external_url(template: Column, rest: Column) -> Column:
 
 def truncate_brief(brief: Column, limit: int = 60) -> Column:
     """A text longer than ``limit`` bytes is cut, on a character's edge, and gets ``...``."""
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(brief, "UTF-8"), 1, limit).cast("string")), "�$", "")
+    begun = F.length(F.make_valid_utf8(F.substring(F.encode(brief, "UTF-8"), 1, limit).cast("string")))  # the last of these characters may be a part
+    cut = F.substring(brief, F.lit(1), begun - (F.octet_length(F.substring(brief, F.lit(1), begun)) > limit).cast("int"))
     cut = F.when(F.octet_length(brief) == F.length(brief), F.substring(brief, 1, limit)).otherwise(cut)
     return F.when(F.octet_length(brief) > limit, F.concat(cut, F.lit("..."))).otherwise(brief)
 

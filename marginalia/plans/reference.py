@@ -269,11 +269,19 @@ l AS (SELECT *, upper(substr(name, 1, 1)) AS letter FROM i)
 
 @query(_INDEX + "SELECT entity_id, module, kind, name, qualified_name, CASE WHEN coalesce(odd, false) THEN '-' ELSE brief END AS brief, anchor, letter, row_number() OVER (PARTITION BY letter ORDER BY qualified_name, entity_id) = 1 AS new_letter FROM l")
 def symbol_index(spark, d):
+    """With ``-`` for briefs that aren't ASCII, as its SQL has it; ``symbol_index_whole`` has all briefs."""
     rows = grouping.index_ordered(grouping.index(entities(spark, d)))
     brief = entities(spark, d).select("entity_id", (F.octet_length("doc.brief") != F.length("doc.brief")).alias("_odd"))
     return rows.join(brief, "entity_id").withColumn("brief", F.when(F.coalesce("_odd", F.lit(False)), F.lit("-")).otherwise(F.col("brief"))).drop("_odd")
 
 
+@query(_INDEX + """SELECT i.entity_id, l.module, l.kind, l.name, l.qualified_name, CASE WHEN strlen(doc.brief) > 60 THEN substr(doc.brief, 1, list_max(list_filter(range(0, 61), lambda n: strlen(substr(doc.brief, 1, n)) <= 60))) || '...' ELSE doc.brief END AS brief,
+l.anchor, letter, row_number() OVER (PARTITION BY letter ORDER BY l.qualified_name, i.entity_id) = 1 AS new_letter FROM l JOIN ents i ON l.entity_id = i.entity_id""")
+def symbol_index_whole(spark, d):
+    """The index with every brief, cut at 60 bytes on a character's edge."""
+    return grouping.index_ordered(grouping.index(entities(spark, d)))
+
+
 @query(f"""{WITH} SELECT entity_id, module, kind, ord, coalesce(kind IS DISTINCT FROM lag(kind) OVER w, true) OR row_number() OVER w = 1 AS new_kind FROM ents WINDOW w AS (PARTITION BY module ORDER BY ord, entity_id)""")
 def section_headings(spark, d):
     return grouping.headings(entities(spark, d).select("entity_id", "module", "kind", "ord"), ["kind"], ["ord", "entity_id"], ["module"])
