@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.clex import Token, comment_text, string_value, tokens
-from marginalia.llm.langtext import CJK, CJK_CHAR, SENTENCE_CJK, SENTENCE_WORDS, _FENCE, _LINK, is_code, labelled_sample, paragraphs, prose, prose_word
+from marginalia.llm.langtext import CJK, CJK_CHAR, SENTENCE_CJK, SENTENCE_WORDS, _FENCE, _LINK, labelled_sample, paragraphs, prose, prose_word, uncoded
 
 #: Fixed: a passage has at least so many blank-divided words, or characters of CJK scripts.
 PASSAGE_WORDS, PASSAGE_CJK = 8, 15
@@ -192,9 +192,10 @@ def blocks(text: str) -> list[list[str]]:
             line = line[m.end() :]
             if m.group(1) in _NAMED:
                 line = line.partition(" ")[2]
-        if not line.strip() or is_code(line):
+        left = uncoded(line)
+        if left != line or not line.strip():
             out.append([])
-            continue
+        line = left
         out[-1] += _LINK.sub(" ", line).split()
     return [b for b in out if b]
 

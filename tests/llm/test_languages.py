@@ -138,3 +138,12 @@ def test_paragraph_with_a_call_and_a_semicolon_has_a_language(spark, regression,
     text = f"Note that the clean task may differ from notifyLocalPier(), until somebody closes the session; the empty buoy stays valid. {HELD['en']}"
     seg = labels.segments(spark.createDataFrame([(1, text, "ru")], "doc_id bigint, text string, lang string"), tables[1], regression)
     assert [tuple(r) for r in labels.wrong(seg).collect()] == [(1, 0, "en")]
+
+
+def test_passage_behind_code_on_one_line(bayes):
+    note = "Note that the shared epoch may differ from scheduleStaleModule(), while no other thread is waiting; the empty buoy stays valid."
+    found = codelang.passages(bayes, f"/// {note}\n")
+    assert [(p[2], p[5]) for p in found] == [("en", note)]
+    found = codelang.passages(bayes, f"/* int f(int x); {HELD['de']} */")
+    assert [(p[2], p[5]) for p in found] == [("de", HELD["de"])]
+    assert codelang.passages(bayes, "/* for (int i = 0; i < n; i++) { add(first, second, third); }\n * int a = read(b); int c = read(d); */") == []
