@@ -10,7 +10,7 @@ An anchor may stand in a third of all records. So no pairs of records are made:
 one row before they are extended, and a run counts as shared if the first and the last record that have it differ.
 Equal texts form a class that is searched once.
 
-Defined results: an entity's text is that of its row that arrived last; null, empty and shorter texts share
+Defined results: an entity's text is that of its row that arrived last, a null time of arrival being the earliest; null, empty and shorter texts share
 nothing; repeats within one entity don't count; offsets are in code points; other columns are ignored.
 """
 
@@ -154,7 +154,7 @@ def merged(intervals) -> F.Column:
 def texts_of(entities: DataFrame) -> DataFrame:
     """entity_id and text: details, or raw where details is null."""
     text = F.coalesce(F.col("doc.details"), F.col("doc.raw"))
-    return entities.where(F.col("entity_id").isNotNull()).groupBy("entity_id").agg(F.max_by(text, F.col("ingested_at")).alias("text"))
+    return entities.where(F.col("entity_id").isNotNull()).groupBy("entity_id").agg(F.max_by(text, F.struct("ingested_at")).alias("text"))
 
 
 def shared_spans(records: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:

@@ -8,7 +8,7 @@ loss of an executor or of the driver.
 
 Defined results: a null or blank target is no reference; a null ``seen_at`` is live under no parent with a
 bounded life; rows that differ in their arrival only are one reference, rows of one key that differ otherwise are
-judged one by one; with no rows on either side the state is empty; other columns of the inputs are ignored.
+judged one by one; a null ``ingested_at`` is the earliest arrival; with no rows on either side the state is empty; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from marginalia.runtime import hot_keys, salt_left, salt_right, scratch
 REF_ID = ["src_table", "ref_field", "entity_id", "pos"]
 REFS = "src_table string, ref_field string, entity_id string, pos int, space string, keys array<string>, seen_at timestamp_ntz, ingested_at timestamp_ntz"
 PARENTS = "space string, key string, live_from timestamp_ntz, live_to timestamp_ntz, ingested_at timestamp_ntz"
+#: A null time of arrival is the earliest; of fixed size, so that rows are hashed and not sorted.
+ARRIVED = "coalesce(ingested_at, timestamp_ntz'0001-01-01')"
 WHITE = r"(?U)^\s+|\s+$"
 
 
@@ -112,7 +114,7 @@ class OrphanTracker:
         old, at = self.state, f"{self.root}/{self.state.number + 1}"
         first = old.number == 0
         # Entities repeat and symbols have copies: a version is one row whatever the number of its copies, combined before the shuffle.
-        latest = lambda d: d.groupBy("space", "key", "live_from").agg(F.max_by("live_to", "ingested_at").alias("live_to"), F.max("ingested_at").alias("ingested_at"))
+        latest = lambda d: d.groupBy("space", "key", "live_from").agg(F.max_by("live_to", F.expr(ARRIVED)).alias("live_to"), F.max("ingested_at").alias("ingested_at"))
         delta = latest(arrived)
         if first:
             index, waiting = delta.withColumn("_new", F.lit(True)), refs.withColumn("_all", F.lit(True))
@@ -120,7 +122,7 @@ class OrphanTracker:
             news = delta.withColumn("_new", F.lit(True))
             known = old.index.withColumn("_new", F.lit(False))
             index = known.unionByName(news).groupBy("space", "key", "live_from").agg(
-                F.max_by("live_to", "ingested_at").alias("live_to"), F.max("ingested_at").alias("ingested_at"), F.max("_new").alias("_new"),
+                F.max_by("live_to", F.expr(ARRIVED)).alias("live_to"), F.max("ingested_at").alias("ingested_at"), F.max("_new").alias("_new"),
                 (F.max(F.when(~F.col("_new"), F.col("live_to").isNull())) & F.max(F.when(F.col("_new"), F.col("live_to").isNotNull()))).alias("_ended"),
             )
             waiting = refs.withColumn("_all", F.lit(True)).unionByName(old.pending.withColumn("_all", F.lit(False)))

@@ -83,3 +83,9 @@ def test_entity_texts(spark):
     rows = [("a", ("r", None), T(2024, 1, 1)), ("a", ("r", None), T(2024, 1, 2)), ("b", ("r", "d"), T(2024, 1, 1)), ("c", None, T(2024, 1, 1)), ("d", ("r", ""), T(2024, 1, 1)), (None, ("r", "d"), T(2024, 1, 1))]
     got = spans.texts_of(spark.createDataFrame(rows, f"entity_id string, doc {doc}, ingested_at timestamp_ntz")).collect()
     assert {tuple(r) for r in got} == {("a", "r"), ("b", "d"), ("c", None), ("d", "")}
+
+
+def test_text_of_an_entity_without_time_of_arrival(spark):
+    rows = [("a", ("only", None), None), ("b", ("old", None), None), ("b", ("new", None), "2024-01-01")]
+    df = spark.createDataFrame(rows, "entity_id string, doc struct<details: string, raw: string>, ingested_at string")
+    assert {tuple(r) for r in spans.texts_of(df).collect()} == {("a", "only"), ("b", "new")}

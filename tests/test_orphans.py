@@ -90,3 +90,9 @@ def test_resume_and_streams(spark, tmp_path):
     again.step(refs.limit(0), tables(spark, symbols=[("late", day(1), None, day(9))])[1])
     assert again.state.pending.count() == 0
     assert orphans.OrphanTracker.resume(spark, f"file://{tmp_path}/none").state.number == 0
+
+
+def test_parent_without_time_of_arrival_ends(spark):
+    symbols = [("k", day(1), day(3), None), ("m", day(1), day(3), None), ("m", day(1), None, day(4))]
+    for steps in (1, 2):
+        assert found(spark, steps, refs=[ref(0, "k", seen=5), ref(1, "k", seen=2, arrived=9), ref(2, "m")], entities=[("e", day(1))], symbols=symbols) == {("doc_refs", "target", "e", 0)}
