@@ -30,6 +30,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.params(nested.flatten(table(spark, d, "sarif_documents")))
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of every kind at its place, with its name and main text."""
+    return nested.records(nested.flatten(table(spark, d, "sarif_documents")))
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of the bridge each kind has in each document, and below how many parents."""
+    bridge = nested.flatten(table(spark, d, "sarif_documents")).occurrences
+    return bridge.groupBy("sarif_id", "child_kind").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(F.coalesce("owner_path", F.lit(""))).alias("owners"))
+
+
 def p2_objects(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct object once."""
     return nested.flatten(table(spark, d, "sarif_documents")).objects.select("object_id", "kind", "name", "attributes")
@@ -40,7 +51,7 @@ def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "sarif_documents")).occurrences
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_objects": p2_objects, "p2_bridge": p2_bridge}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_records": p2_records, "p2_kinds": p2_kinds, "p2_objects": p2_objects, "p2_bridge": p2_bridge}
 
 _ORPHANS = r"""
 WITH refs AS (
@@ -93,7 +104,29 @@ held AS (
 SELECT DISTINCT sarif_id, path AS owner_path, child_kind, pos::int AS pos, CASE WHEN json_type(p, '$.name') = 'VARCHAR' THEN json_extract_string(p, '$.name') ELSE '' END AS name FROM held WHERE json_type(p) = 'OBJECT'
 """
 
+_EDGES = ", ".join(f"('{kind}', '{key}', '{child}', true)" for kind, below in nested.CHILDREN.items() for key, child in below) + ", " + ", ".join(f"('{kind}', '{key}', 'doc', false)" for kind, key in nested.SINGLE.items())
+_MAIN = " ".join(f"WHEN '{kind}' THEN CASE WHEN json_type(o, '$.{key}') = 'VARCHAR' THEN json_extract_string(o, '$.{key}') ELSE {'NULL' if absent is None else repr(absent)} END" for kind, (key, absent) in nested.MAIN.items())
+_RECORDS = f"""
+WITH RECURSIVE edges(kind, key, child, many) AS (VALUES {_EDGES}),
+ok AS (
+  SELECT DISTINCT sarif_id, json_extract(body, '$.runs[0].properties."{nested.MODULES_KEY}"') AS ms FROM sarif_documents
+  WHERE body IS NOT NULL AND json_valid(body) AND json_type(body, '$.runs') = 'ARRAY' AND json_type(body, '$.runs[0].properties."{nested.VERSION_KEY}"') = 'VARCHAR'
+    AND json_extract_string(body, '$.runs[0].properties."{nested.VERSION_KEY}"') = '{nested.VERSION}' AND json_type(body, '$.runs[0].properties."{nested.MODULES_KEY}"') = 'ARRAY'),
+node AS (
+  SELECT sarif_id, NULL::varchar AS owner_path, 'module' AS kind, i::int AS pos, i::varchar AS path, json_extract(ms, '$[' || i || ']') AS o FROM (SELECT *, unnest(range(0, json_array_length(ms)::bigint)) AS i FROM ok)
+  WHERE json_type(ms, '$[' || i || ']') = 'OBJECT'
+  UNION ALL
+  SELECT sarif_id, path, child, j::int, path || '/' || key || CASE WHEN many THEN '/' || j ELSE '' END, c FROM (
+    SELECT sarif_id, path, child, key, many, j, json_extract(o, '$.' || key || CASE WHEN many THEN '[' || j || ']' ELSE '' END) AS c FROM (
+      SELECT n.sarif_id, n.path, n.o, e.child, e.key, e.many, unnest(range(0, CASE WHEN NOT e.many THEN 1 WHEN json_type(n.o, '$.' || e.key) = 'ARRAY' THEN json_array_length(n.o, '$.' || e.key)::bigint ELSE 0 END)) AS j
+      FROM node n JOIN edges e ON e.kind = n.kind)) WHERE json_type(c) = 'OBJECT'),
+shown AS (SELECT DISTINCT sarif_id, owner_path, kind AS child_kind, pos, CASE WHEN json_type(o, '$.name') = 'VARCHAR' THEN json_extract_string(o, '$.name') ELSE '' END AS name,
+  CASE kind {_MAIN} WHEN 'value' THEN CASE WHEN json_type(o, '$.value') IN ('BIGINT', 'UBIGINT') THEN json_extract_string(o, '$.value') END END AS text, md5(o::varchar) AS h FROM node)
+"""
+
 ORACLE = {
+    "p2_records": _RECORDS + "SELECT sarif_id, owner_path, child_kind, pos, name, text FROM shown",
+    "p2_kinds": _RECORDS + "SELECT sarif_id, child_kind, count(*) AS occurrences, count(DISTINCT coalesce(owner_path, '')) AS owners FROM shown GROUP BY ALL",
     "p2_found": _NESTED,
     "p1_found": _ORPHANS + "SELECT DISTINCT src_table, ref_field, entity_id, pos FROM orphans",
     "p1_counts": _ORPHANS + "SELECT src_table, ref_field, period, reason, count(*) AS orphans FROM orphans GROUP BY ALL",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +32,20 @@ def session(app: str = "marginalia", cores: str = "*", partitions: int = 8) -> S
     )
 
 
+#: Setting with the folder for intermediate tables where ``spark.checkpoint.dir`` isn't set.
+SHARED = "marginalia.shared.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (local tests only), a temporary one that is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, else that of ``marginalia.shared.dir``, else the one given to ``setCheckpointDir``.
+
+    If none is set, a local session (tests) gets a folder of its own; on a cluster this is an error, since no folder of one machine will do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir or {SHARED} to a folder that all machines of the cluster share")
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(SHARED, folder)
     return folder.rstrip("/")
 
 
@@ -42,25 +53,44 @@ def shared_dir(spark: SparkSession) -> str:
 _PATHS: list[str] = []
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path as its own object."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path, not used before, in the shared folder."""
+    """A new folder in the shared folder. It is deleted by ``clear``, or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
     _PATHS.append(path)
     return path
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete all intermediate tables of this process. Results that were not written elsewhere can't be read afterwards."""
-    jvm, n = spark.sparkContext._jvm, 0
-    while _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediate tables of this process, or those beyond the first ``since``. Results that were not written elsewhere can't be read afterwards."""
+    n = 0
+    while len(_PATHS) > since:
+        fs, at = hadoop(spark, _PATHS.pop())
+        n += bool(fs.delete(at, True))
     return n
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """``with cleared(spark): query(spark, folder).write…`` – what was made for the result is deleted when it has been written."""
+    since = len(_PATHS)
+    try:
+        yield
+    finally:
+        clear(spark, since)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name) + "/table"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -68,6 +98,16 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a table made by ``materialize`` that nothing reads any more."""
+    for file in table.inputFiles()[:1]:
+        path = next((p for p in _PATHS if f"{p.split('://')[-1]}/" in file), None)
+        if path:
+            fs, at = hadoop(table.sparkSession, path)
+            fs.delete(at, True)
+            _PATHS.remove(path)
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
     """The keys that hold more than ``share`` of all rows: fewer than 1 / share rows, whatever the size of ``df``.
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.nested import CHILDREN, VERSION, VERSION_KEY, MODULES_KEY
+from marginalia.functions.jsontext import NotJson
+from marginalia.operators.nested import MODULES_KEY, VERSION, VERSION_KEY, properties_of
 
 TOOL, TOOL_VERSION = "marginalia", "0.1.0"
 SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -19,13 +20,10 @@ STATUS = "sarif_id bigint, status string, modules int"
 def status_of(body: str | None) -> tuple[str, int]:
     """``ok`` and the number of modules, or why a body isn't read."""
     try:
-        top = json.loads(body or "")
-    except (ValueError, RecursionError):
+        p = properties_of(body)
+    except NotJson:
         return "InvalidJson", 0
-    run = top.get("runs") if isinstance(top, dict) else None
-    run = run[0] if isinstance(run, list) and run else None
-    p = run.get("properties") if isinstance(run, dict) else None
-    if not isinstance(p, dict):
+    if p is None:
         return "InvalidStructure", 0
     if not isinstance(p.get(VERSION_KEY), str):
         return "MissingVersion", 0
@@ -90,5 +88,3 @@ def results(issues: DataFrame) -> DataFrame:
     place = F.array(F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     return issues.select("file", "line", "code", F.to_json(F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(text.alias("text")).alias("message"), place.alias("locations"))).alias("result"))
 
-
-__all__ = ["CHILDREN", "module_documents", "results", "rules", "status_of", "statuses"]

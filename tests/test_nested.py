@@ -80,3 +80,58 @@ def test_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/sarif_documents.parquet")
     want = set().union(*(brute(r["sarif_id"], r["body"]) for r in df.collect()))
     assert {tuple(r) for r in nested.params(nested.flatten(df)).collect()} == want
+
+
+def test_any_depth_and_any_number(spark):
+    f = '{"name": "f", "odd": %s, "params": [{"name": "a", "default": %s}]}'
+    deep, long = "[" * 100000 + "]" * 100000, "9" * 10000
+    classes = '{"nestedClasses": [' * 3000 + '{"methods": [{"params": [{"name": "m"}]}]}' + "]}" * 3000
+    whole = lambda modules: body(["@"]).replace('"@"', modules)
+    rows = [(1, whole('{"functions": [%s]}' % (f % (deep, "1"))), ""), (2, whole('{"functions": [%s]}' % (f % ("1.50", long))), ""), (3, whole('{"classes": [%s]}' % classes), ""), (4, whole("[" * 100000), "")]
+    got = found(spark, rows)
+    assert {r for r in got if r[0] < 3} == {(1, "0/functions/0", "param", 0, "a"), (2, "0/functions/0", "param", 0, "a")}
+    assert [(r[1].count("nestedClasses"), r[4]) for r in got if r[0] == 3] == [(3000, "m")] and len(got) == 3
+    from marginalia.sources.sarif import status_of
+
+    assert [status_of(r[1])[0] for r in rows] == ["ok", "ok", "ok", "InvalidJson"]
+
+
+def test_json_reader():
+    from marginalia.functions import jsontext
+
+    for bad in ("", "{", "[1,]", '{"a":1,}', "[1 2]", '{"a" 1}', "{1:2}", "nul", "01", "[1]x", '"a\nb"', "NaN", "[-Infinity]", '{"a":}', "]", "{]", "[}", "-", "1.", "[,1]"):
+        for read in (jsontext.load, jsontext.scan):
+            try:
+                read(bad)
+            except jsontext.NotJson:
+                continue
+            raise AssertionError(bad)
+    text = '{"b": [1, {"x": null}, true], "a": "\\ud83d\\ude80 \\n", "a": "last"}'
+    assert jsontext.scan(text) == jsontext.load(text) == json.loads(text)
+    assert jsontext.canonical(jsontext.load('{"b": 1.50, "a": 1e400}')) == '{"a":1e400,"b":1.50}'
+
+
+def test_identities_differ_where_content_does(spark):
+    shapes = ['"zzz"', "5", "[]", "[3]", '[{"name": "a"}, 3]', '[3, {"name": "a"}]', '{"name": "a"}', "null", "[1.5]", '["1.5"]']
+    functions = ", ".join('{"params": %s}' % s for s in shapes) + ', {}, {"doc": {}}, {"doc": []}, {"doc": {"params": [1]}}, {"templateParams": []}'
+    flat = nested.flatten(spark.createDataFrame([(1, body(["@"]).replace('"@"', '{"functions": [%s]}' % functions))], "sarif_id bigint, body string"))
+    assert flat.objects.where("kind = 'function'").count() == len(shapes) + 5
+
+
+def test_nothing_is_lost(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/sarif_documents.parquet").dropDuplicates(["sarif_id"])
+    flat = nested.flatten(df)
+    objects = {r["object_id"]: (r["kind"], json.loads(r["attributes"])) for r in flat.objects.collect()}
+    below, tops = {}, {}
+    for r in flat.occurrences.select("sarif_id", "child_kind", "pos", "parent_id", "object_id").distinct().collect():
+        if r["parent_id"] is None:
+            tops.setdefault(r["sarif_id"], {})[r["pos"]] = r["object_id"]
+        else:
+            below.setdefault(r["parent_id"], set()).add((r["child_kind"], r["pos"], r["object_id"]))
+    seen = 0
+    for r in df.collect():
+        for n, module in enumerate(nested.modules_of(r["body"])):
+            if isinstance(module, dict):
+                assert nested.rebuild(objects, below, tops[r["sarif_id"]][n]) == module
+                seen += 1
+    assert seen > 20
