@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return _tracked(spark, d).counts()
 
 
+def p1_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The pending orphans as they were known at the beginning of each year: ``as_of``, and at the end (null), by table, month and reason."""
+    refs = orphans.references(table(spark, d, "doc_refs"), table(spark, d, "doc_params"))
+    first, last = refs.agg(F.min("ingested_at"), F.max("ingested_at")).first()
+    cuts = [datetime(y, 1, 1) for y in range(first.year + 1, last.year + 1)] if first is not None else []
+    tracker = _tracked(spark, d, cuts=cuts, count=True)
+    out = None
+    for cut, counts in zip([*cuts, None], tracker.snapshots):
+        rows = counts.drop("step").withColumn("as_of", F.lit(cut.date() if cut else None).cast("date"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.params(nested.flatten(table(spark, d, "sarif_documents")))
 
@@ -51,7 +66,7 @@ def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "sarif_documents")).occurrences
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_records": p2_records, "p2_kinds": p2_kinds, "p2_objects": p2_objects, "p2_bridge": p2_bridge}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_snapshots": p1_snapshots, "p2_found": p2_found, "p2_records": p2_records, "p2_kinds": p2_kinds, "p2_objects": p2_objects, "p2_bridge": p2_bridge}
 
 _ORPHANS = r"""
 WITH refs AS (
@@ -104,6 +119,34 @@ held AS (
 SELECT DISTINCT sarif_id, path AS owner_path, child_kind, pos::int AS pos, CASE WHEN json_type(p, '$.name') = 'VARCHAR' THEN json_extract_string(p, '$.name') ELSE '' END AS name FROM held WHERE json_type(p) = 'OBJECT'
 """
 
+# The same as of every cut: each table is taken as far as it had arrived.
+_AS_OF = """
+WITH cuts AS (
+  SELECT make_date(y::int, 1, 1) AS as_of FROM (SELECT unnest(range(min(year(ingested_at)) + 1, max(year(ingested_at)) + 1)) AS y FROM (SELECT ingested_at FROM doc_refs UNION ALL SELECT ingested_at FROM doc_params))
+  UNION ALL SELECT NULL),
+refs AS (SELECT DISTINCT as_of, entity_id, pos, seen_at, strftime(seen_at, '%Y-%m') AS period, lower(coalesce(kind, 'symbol')) AS space, regexp_replace(target, '^\\s+|\\s+$', '', 'g') AS t
+  FROM doc_refs, cuts WHERE as_of IS NULL OR ingested_at < as_of),
+params AS (SELECT as_of, entity_id, pos, min(ingested_at) AS at FROM doc_params, cuts WHERE as_of IS NULL OR ingested_at < as_of GROUP BY ALL),
+ents AS (SELECT DISTINCT as_of, entity_id FROM entities, cuts WHERE as_of IS NULL OR ingested_at < as_of),
+keyed AS (SELECT *, CASE WHEN space = 'symbol' AND contains(k, '(') THEN split_part(k, '(', 1) ELSE k END AS k2
+  FROM (SELECT *, CASE WHEN space = 'symbol' THEN regexp_replace(t, '^::', '') ELSE t END AS k FROM refs WHERE t <> '')),
+declared AS (SELECT DISTINCT as_of, unnest(regexp_extract_all(content, '(?m)^[^\\S\\r\\n]*[@\\\\](?:section|anchor)[^\\S\\r\\n]+\\S+')) AS line, added_at, removed_at FROM pages, cuts WHERE as_of IS NULL OR ingested_at < as_of),
+live AS (
+  SELECT as_of, 'symbol' AS space, lookup_key AS k, added_at, removed_at FROM symbols, cuts WHERE as_of IS NULL OR ingested_at < as_of
+  UNION SELECT as_of, 'page', id, added_at, removed_at FROM pages, cuts WHERE as_of IS NULL OR ingested_at < as_of
+  UNION SELECT as_of, regexp_extract(line, '(section|anchor)', 1), regexp_extract(line, '[@\\\\](?:section|anchor)\\s+(\\S+)', 1), added_at, removed_at FROM declared),
+began AS (SELECT as_of, space, k, min(added_at) AS f FROM live GROUP BY ALL),
+begun AS (SELECT r.*, coalesce(least(b1.f, b2.f), b1.f, b2.f) AS f FROM keyed r
+  LEFT JOIN began b1 ON b1.space = r.space AND b1.k = r.k AND b1.as_of IS NOT DISTINCT FROM r.as_of LEFT JOIN began b2 ON b2.space = r.space AND b2.k = r.k2 AND b2.as_of IS NOT DISTINCT FROM r.as_of),
+hits AS (SELECT DISTINCT r.as_of, r.entity_id, r.pos, r.seen_at, r.space, r.k FROM begun r JOIN live l ON l.space = r.space AND l.k IN (r.k, r.k2) AND l.as_of IS NOT DISTINCT FROM r.as_of AND r.seen_at >= l.added_at AND (l.removed_at IS NULL OR r.seen_at < l.removed_at)),
+orphans AS (
+  SELECT as_of, 'doc_refs' AS src_table, 'target' AS ref_field, entity_id, pos, period, CASE WHEN f IS NULL THEN 'never' WHEN f > r.seen_at THEN 'not yet' ELSE 'no longer' END AS reason FROM begun r
+  WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.as_of IS NOT DISTINCT FROM r.as_of AND h.entity_id IS NOT DISTINCT FROM r.entity_id AND h.pos = r.pos AND h.seen_at = r.seen_at AND h.space = r.space AND h.k = r.k)
+  UNION SELECT as_of, 'doc_refs', 'entity_id', entity_id, pos, period, 'never' FROM refs r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.entity_id = r.entity_id AND e.as_of IS NOT DISTINCT FROM r.as_of)
+  UNION SELECT as_of, 'doc_params', 'entity_id', entity_id, pos, strftime(at, '%Y-%m'), 'never' FROM params r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.entity_id = r.entity_id AND e.as_of IS NOT DISTINCT FROM r.as_of))
+SELECT as_of, src_table, ref_field, period, reason, count(*) AS orphans FROM orphans GROUP BY ALL
+"""
+
 _EDGES = ", ".join(f"('{kind}', '{key}', '{child}', true)" for kind, below in nested.CHILDREN.items() for key, child in below) + ", " + ", ".join(f"('{kind}', '{key}', 'doc', false)" for kind, key in nested.SINGLE.items())
 _MAIN = " ".join(f"WHEN '{kind}' THEN CASE WHEN json_type(o, '$.{key}') = 'VARCHAR' THEN json_extract_string(o, '$.{key}') ELSE {'NULL' if absent is None else repr(absent)} END" for kind, (key, absent) in nested.MAIN.items())
 _RECORDS = f"""
@@ -125,6 +168,7 @@ shown AS (SELECT DISTINCT sarif_id, owner_path, kind AS child_kind, pos, CASE WH
 """
 
 ORACLE = {
+    "p1_snapshots": _AS_OF,
     "p2_records": _RECORDS + "SELECT sarif_id, owner_path, child_kind, pos, name, text FROM shown",
     "p2_kinds": _RECORDS + "SELECT sarif_id, child_kind, count(*) AS occurrences, count(DISTINCT coalesce(owner_path, '')) AS owners FROM shown GROUP BY ALL",
     "p2_found": _NESTED,

@@ -96,3 +96,45 @@ def test_parent_without_time_of_arrival_ends(spark):
     symbols = [("k", day(1), day(3), None), ("m", day(1), day(3), None), ("m", day(1), None, day(4))]
     for steps in (1, 2):
         assert found(spark, steps, refs=[ref(0, "k", seen=5), ref(1, "k", seen=2, arrived=9), ref(2, "m")], entities=[("e", day(1))], symbols=symbols) == {("doc_refs", "target", "e", 0)}
+
+
+def test_any_division_into_steps_gives_one_result(spark, monkeypatch):
+    """Late rows, lives that are shortened, prolonged, ended and taken up again, copies, ties and null arrivals, against plain Python."""
+    import random
+
+    rng = random.Random(5)
+    keys = ["a", "b", "b(int)", "c::d", "e"]
+    symbols = [(rng.choice(keys), day(rng.choice([1, 10, 18])), rng.choice([None, day(rng.randint(2, 28)), day(rng.randint(2, 28))]), rng.choice([None, *(day(n) for n in range(1, 28))])) for _ in range(45)]
+    refs = [ref(n, rng.choice(["a", "b", "b(int)", "b(char)", "::c::d", "e", "x"]), seen=rng.randint(1, 28), arrived=rng.randint(1, 28)) for n in range(120)]
+    refs += [(*r[:5], day(rng.randint(1, 28)), "copy") for r in refs[:30]] + [(*ref(500, "a", seen=9)[:5], None, "x")]
+    latest = {}
+    for key, since, until, at in symbols:
+        latest[key, since] = max(latest.get((key, since), ()), (at or T(1, 1, 1), until or T(9999, 1, 1)))
+    live = lambda key, seen: any(k == key and since <= seen < until for (k, since), (_, until) in latest.items())
+    bare = lambda t: t.removeprefix("::")
+    want = {r[1] for r in refs if not (live(bare(r[2]), r[4]) or live(bare(r[2]).split("(")[0], r[4]))}
+    monkeypatch.setattr(orphans, "MAX_LOGS", 3)
+    r, p = tables(spark, refs=refs, entities=[("e", day(1))], symbols=symbols)
+    for steps in (1, 2, 5):
+        got = orphans.track(spark, r, p, steps)
+        pending, resolved = ([x["pos"] for x in df.where("ref_field = 'target'").collect()] for df in (got.state.pending, got.state.resolved))
+        assert set(pending) == want and len(pending) == len(want), steps
+        assert set(resolved) == {x[1] for x in refs} - want and len(resolved) == len(set(resolved))
+    assert len(got.state.logs) < 4 and got.vacuum() > 0 and got.state.pending.where("ref_field = 'target'").count() == len(want)
+
+
+def test_shortened_life_reopens_and_the_join_is_by_key(spark):
+    refs, none = tables(spark, refs=[ref(n, f"k{n}", seen=8) for n in range(20)], entities=[("e", day(1))])
+    t = orphans.OrphanTracker(spark)
+    parents = lambda until, arrived: tables(spark, symbols=[(f"k{n}", day(1), day(until), day(arrived)) for n in range(20)])[1]
+    t.step(refs, none.unionByName(parents(20, 2)))
+    assert t.state.pending.count() == 0 and t.state.resolved.count() == 40
+    t.step(refs.limit(0), parents(5, 3).where("key = 'k3'"), count=True)
+    assert [r["keys"] for r in t.state.pending.collect()] == [["k3"]] and t.state.resolved.count() == 39 and t.snapshots[0].collect()[0]["orphans"] == 1
+    assert len(t._touched(t._path("refs", "2"))) == 1  # only the bucket of k3 was written
+    shortened = spark.createDataFrame([("symbol", "k3", day(5), 1 << 60)], "space string, key string, live_to timestamp_ntz, _before bigint")
+    text = t._reopened(t.state.logs, [1, 2], shortened)._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in text.split("\n") if "Join" in x and "key" in x and "_salt" in x)
+    assert "space" in join and "PartitionFilters: [isnotnull(bucket" in text or "bucket#" in text.split("PartitionFilters")[1][:200]
+    t.step(refs.limit(0), parents(25, 4).where("key = 'k3'"))
+    assert t.state.pending.count() == 0
