@@ -69,6 +69,11 @@ def _join(words: list[str]) -> str:
     return out
 
 
+def _type(words: list[str]) -> str:
+    """Type text in the usual spelling: ``char *``, ``const T &``, ``char *const``."""
+    return re.sub(r"([*&])\s+(const|volatile)\b", r"\1\2", re.sub(r"(?<=[\w>\]])\s*([*&]+)", r" \1", _join(words)))
+
+
 class Parser:
     def __init__(self, text: str, cpp: bool = True):
         self.text, self.cpp, self.lines = text, cpp, Lines(text)
@@ -515,7 +520,7 @@ class Parser:
                 out.append(self.text[t.start : self.toks[self.match(k)].start + 1])
             else:
                 out.append(t.text)
-        return _join(out)
+        return _type(out)
 
     def _split(self, first: int, last: int) -> list[list[int]]:
         parts, cur, k = [], [], first
@@ -566,7 +571,7 @@ class Parser:
                     name_n = len(base) - 1
             name = texts[name_n] if name_n is not None else ""
             kept = [x for n, x in enumerate(texts) if n != name_n]
-            out.append(Param(name, _join(kept), default))
+            out.append(Param(name, _type(kept), default))
         return out
 
     def _tparams(self, first: int, last: int) -> list[Param]:
@@ -579,7 +584,7 @@ class Parser:
                 default = _join(texts[cut + 1 :])
                 part, texts = part[:cut], texts[:cut]
             named = self.toks[part[-1]].kind == "id" and texts[-1] not in ("typename", "class") and len(texts) > 1
-            out.append(Param(texts[-1] if named else "", _join(texts[:-1] if named else texts), default))
+            out.append(Param(texts[-1] if named else "", _type(texts[:-1] if named else texts), default))
         return out
 
     def _class(self, begin, keyword, head, body, stack, tparams, attributes) -> None:

@@ -246,18 +246,3 @@ def enum_value(text: Column) -> Column:
     t = F.regexp_replace(t, r"^[-+]", "")
     num = F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.substr(t, F.lit(3)), 16, 10)).when(t.rlike("^0b[01]+$"), F.conv(F.substr(t, F.lit(3)), 2, 10)).when(t.rlike("^0o[0-7]+$"), F.conv(F.substr(t, F.lit(3)), 8, 10)).when(t.rlike(r"^\d+$"), t)
     return sign * num.try_cast("bigint")
-
-
-def method_kind(name: Column, class_name: Column, return_type: Column, first_type: Column, params: Column) -> Column:
-    """destructor, constructor, copy_constructor, move_constructor or regular, by name and first parameter."""
-    short = class_simple_name(class_name)
-    first = F.regexp_replace(first_type, r"\s+", "")
-    ctor = (name == short) & (return_type.isNull() | (return_type == short) | (return_type == "void"))
-    one = params == 1
-    return (
-        F.when(name.startswith("~"), F.lit("destructor"))
-        .when(ctor & one & ((first == F.concat(F.lit("const"), short, F.lit("&"))) | (first == F.concat(short, F.lit("const&")))), F.lit("copy_constructor"))
-        .when(ctor & one & (first == F.concat(short, F.lit("&&"))), F.lit("move_constructor"))
-        .when(ctor, F.lit("constructor"))
-        .otherwise(F.lit("regular"))
-    )

@@ -41,7 +41,7 @@ def _kind_of(node: cdecl.Node) -> str | None:
     if node.name.startswith("~"):
         return "destructor"
     if node.name.startswith("operator"):
-        return "conversion" if node.name.startswith("operator ") else "operator"
+        return "conversion_operator" if node.name.startswith("operator ") else "operator_overload"
     if node.name == own:
         first = re.sub(r"\s+", "", node.params[0].type) if len(node.params) == 1 else ""
         return "copy_constructor" if first in (f"const{own}&", f"{own}const&") else "move_constructor" if first == f"{own}&&" else "constructor"
@@ -115,6 +115,11 @@ def nodes(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("content").isNotNull()).select("path", "content", cpp.alias("is_cpp")).mapInArrow(_parser(), NODES)
 
 
+def is_guard():
+    """Whether a row of ``nodes`` is the macro that guards its file against a second inclusion: its name is the file's path."""
+    return (F.col("kind") == "macro") & (F.size("params") == 0) & (F.upper(F.regexp_replace("module", "[^A-Za-z0-9]", "_")) == F.upper(F.regexp_replace("name", "_+$", "")))
+
+
 def pages_and_groups(sources: DataFrame) -> DataFrame:
     return sources.select("path", "content").mapInArrow(_pages, PAGES)
 

@@ -65,21 +65,22 @@ def closure(edges: DataFrame, max_depth: int | None = MAX_DEPTH, seeds: DataFram
     return known
 
 
-def first_parent_root(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The root of each child when only the first parent (pos least) is followed; a cycle ends at ``max_depth``.
+def first_parent_root(edges: DataFrame) -> DataFrame:
+    """The root of each child when only the first parent (pos least) is followed, through chains of any length.
 
-    Pointers are doubled, so a chain of n takes log n rounds."""
+    Pointers are doubled, so a chain of n takes log n rounds. Where the chain runs into a cycle there is no root: it is null."""
     one = edges.groupBy("child").agg(F.min_by("parent", F.struct("pos", "parent")).alias("up"))
     jump = materialize(one, "graph-jump")
-    steps = 1
-    while steps < max_depth:
+    nodes, steps = jump.count(), 1
+    while True:
         up = jump.select(F.col("child").alias("up"), F.col("up").alias("_next"))
-        moved = jump.join(up, "up", "left").select("child", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_m"))
-        moved = materialize(moved, "graph-jump")
+        moved = materialize(jump.join(up, "up", "left").select("child", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_m")), "graph-jump")
+        steps *= 2
         if moved.where("_m").isEmpty():
-            break
-        jump, steps = moved.drop("_m"), steps * 2
-    return jump.select("child", F.col("up").alias("root"))
+            return moved.select("child", F.col("up").alias("root"))
+        if steps > nodes:  # whoever still moves goes round in a cycle
+            return moved.select("child", F.when(~F.col("_m"), F.col("up")).alias("root"))
+        jump = moved.drop("_m")
 
 
 def nesting(entities: DataFrame, max_depth: int | None = None) -> DataFrame:

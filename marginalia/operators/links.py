@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import anchor, base_type, external_url, is_anchor_id, stem
+from marginalia.runtime import hot_keys, salt_left, salt_right
 
 #: Fixed: where names of the standard library are documented; ``$$`` stands for the rest of the name.
 EXTERNAL = (("std::", "https://en.cppreference.com/w/cpp/$$"),)
@@ -55,8 +56,13 @@ def rewrite(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     The pieces of a text are exploded, joined by equality with the symbol table, and put together in their order."""
     pattern = r'[@\\]ref\s+([^\s,;\]"]*[^\s,.;\]"])(?:\s+"([^"]*)")?'
     marked = F.split(F.regexp_replace("text", pattern, "\x01$1\x02$2\x01"), "\x01")
-    pieces = texts.select("text_id", F.posexplode(marked).alias("pos", "_p")).withColumn("_t", F.when(F.col("pos") % 2 == 1, F.substring_index("_p", "\x02", 1)))
-    met = pieces.join(symbols.select(F.col("lookup_key").alias("_t"), F.col("anchor").alias("_a")), "_t", "left")
+    pieces = texts.select("text_id", F.posexplode(marked).alias("pos", "_p"))
+    # Plain text joins nothing and doesn't travel by a key; targets meet the table once each.
+    asked = pieces.where("pos % 2 = 1").withColumn("_t", F.substring_index("_p", "\x02", 1))
+    known = asked.select("_t").distinct().join(symbols.select(F.col("lookup_key").alias("_t"), F.col("anchor").alias("_a")), "_t")
+    hot = hot_keys(asked, ["_t"])
+    met = salt_left(asked, ["_t"], hot, ["text_id", "pos"]).join(salt_right(known, ["_t"], hot), ["_t", "_salt"], "left")
     shown = F.coalesce(F.nullif(F.substring_index("_p", "\x02", -1), F.lit("")), F.col("_t"))
-    text = F.when(F.col("_t").isNull(), F.col("_p")).when(F.col("_a").isNotNull(), F.concat(F.lit("["), shown, F.lit("](#"), F.col("_a"), F.lit(")"))).otherwise(F.concat(F.lit("`"), shown, F.lit("`")))
-    return met.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    link = F.when(F.col("_a").isNotNull(), F.concat(F.lit("["), shown, F.lit("](#"), F.col("_a"), F.lit(")"))).otherwise(F.concat(F.lit("`"), shown, F.lit("`")))
+    parts = pieces.where("pos % 2 = 0").select("text_id", "pos", F.col("_p").alias("t")).unionByName(met.select("text_id", "pos", link.alias("t")))
+    return parts.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias("text"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.exprs import basename, content_hash
+from marginalia.functions.exprs import content_hash
 from marginalia.operators.graph import closure
+from marginalia.runtime import hadoop
 
 MANIFEST = "path string, hash string, mtime decimal(38,0), size bigint"
 
@@ -53,11 +54,51 @@ def rebuild_set(status: DataFrame, edges: DataFrame) -> DataFrame:
     return seeds.select(F.col("name").alias("path")).union(above).distinct().join(there, "path", "left_semi")
 
 
+def normalized(path):
+    """A path without ``.``, ``..`` and empty components, as a column; ``..`` beyond the top stays."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    empty = F.array().cast("array<string>")
+    up = lambda acc: (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
+    out = F.aggregate(parts, empty, lambda acc, p: F.when((p == "..") & F.coalesce(F.when(F.size(acc) > 0, up(acc)), F.lit(False)), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(out, "/"))
+
+
 def dependencies(includes: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges path -> needs from include lines; system includes and those that no file's basename answers are left out."""
-    by_name = files.select(F.col("path").alias("needs"), basename(F.col("path")).alias("_b"))
-    local = includes.where("not is_system").select(F.col("module").alias("path"), basename(F.col("path")).alias("_b")).distinct()
-    return local.join(by_name, "_b").where("path != needs").select("path", "needs").distinct()
+    """Edges path -> needs from include lines. A local include is sought beside the file that has it; what isn't there is no edge.
+
+    Joined by the whole path, so that each include line meets one file at most."""
+    folder = F.when(F.contains("module", F.lit("/")), F.regexp_replace("module", "[^/]*$", "")).otherwise("")
+    local = includes.where("not is_system").select(F.col("module").alias("path"), normalized(F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(folder, "path"))).alias("_at")).distinct()
+    there = files.select(F.col("path").alias("needs"), normalized(F.col("path")).alias("_at")).distinct()
+    return local.join(there, "_at").where("path != needs").select("path", "needs").distinct()
+
+
+def save(current: DataFrame, folder: str) -> str:
+    """Write a manifest as a new version below ``folder``: ``version=n``, n being one more than the last complete one. Earlier versions stay readable."""
+    spark = current.sparkSession
+    n = max(versions(spark, folder), default=0) + 1
+    at = f"{folder}/version={n}"
+    current.write.mode("overwrite").parquet(at)
+    return at
+
+
+def versions(spark, folder: str) -> list[int]:
+    """The versions that were written to their end."""
+    fs, at = hadoop(spark, folder)
+    names = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and fs.exists(hadoop(spark, f"{p}/_SUCCESS")[1]))
+
+
+def load(spark, folder: str) -> DataFrame:
+    """The last version of a stored manifest; an empty one if there is none."""
+    known = versions(spark, folder)
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/version={known[-1]}") if known else spark.createDataFrame([], MANIFEST)
+
+
+def replace(stored: DataFrame, entries: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """A manifest with ``entries`` in the place of those of the same path, and without the paths of ``gone``."""
+    kept = stored.join(entries.select("path"), "path", "left_anti").unionByName(entries.select(*stored.columns))
+    return kept if gone is None else kept.join(gone.select("path"), "path", "left_anti")
 
 
 def upsert(old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:

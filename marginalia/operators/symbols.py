@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import FAR_BYTES, levenshtein, short_name, signature
+from marginalia.runtime import hot_keys, salt_left, salt_right
 
 #: Fixed: kinds in the order in which a module's declarations are registered.
 ORDER = {"function": 0, "struct": 1, "enum": 2, "typedef": 3, "class": 4, "method": 5}
@@ -90,6 +91,33 @@ def _pieces(text: Column, count: int) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("n"), edge(n).alias("start"), F.substr(text, edge(n) + 1, edge(n + 1) - edge(n)).alias("piece")) for n in range(count)])
 
 
+def _alignments(text: Column, limit: int) -> Column:
+    """All ways to keep up to ``limit`` characters of a short text: structs (kept, gaps), gaps being the characters left out before, between and behind them."""
+    size = F.length(text)
+    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), size).cast("int") - 1), lambda m: (F.bit_count(m) <= limit) & (size - F.bit_count(m) <= limit))
+    last = lambda g: F.element_at(g, -1)
+    start = F.struct(F.lit("").alias("kept"), F.array(F.lit(0)).alias("gaps"))
+    step = lambda m: lambda acc, i: F.when(
+        F.getbit(m, i - 1) == 1, F.struct(F.concat(acc["kept"], F.substr(text, i, F.lit(1))).alias("kept"), F.concat(acc["gaps"], F.array(F.lit(0))).alias("gaps"))
+    ).otherwise(F.struct(acc["kept"].alias("kept"), F.concat(F.slice(acc["gaps"], F.lit(1), F.size(acc["gaps"]) - 1), F.array(last(acc["gaps"]) + 1)).alias("gaps")))
+    return F.transform(masks, lambda m: F.aggregate(F.sequence(F.lit(1), size), start, step(m)))
+
+
+def _near_short(asked: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """Of queries with no more than ``limit`` characters, which can't be cut into pieces, the best names with their distance.
+
+    The edit distance is the least cost of an alignment: characters kept by both, and between them gaps that cost the longer
+    of the two. So names are put together by what they keep and their gaps, the least name standing for all: a few dozen rows
+    for each kept text whatever the number of names, joined by equality with what the queries keep."""
+    rows = lambda df, c: df.select(c, F.explode(_alignments(F.col(c), limit)).alias("_x")).select(c, F.col("_x.kept").alias("_kept"), F.col("_x.gaps").alias(f"_{c}"))
+    theirs = rows(names.where(F.length("name") <= 2 * limit), "name").groupBy("_kept", "_name").agg(F.min("name").alias("name"))
+    mine = rows(asked, "query")
+    hot = hot_keys(mine, ["_kept"])
+    met = salt_left(mine, ["_kept"], hot, ["query"]).join(salt_right(theirs, ["_kept"], hot), ["_kept", "_salt"])
+    cost = F.aggregate(F.zip_with("_query", "_name", lambda a, b: F.greatest(a, b)), F.lit(0), lambda n, x: n + x)
+    return met.select("query", "name", cost.alias("distance")).where(F.col("distance") <= limit)
+
+
 def similar(queries: DataFrame, names: DataFrame, limit: int = 3) -> DataFrame:
     """For each ``query`` the nearest ``name`` within ``limit`` edits, of equally near ones the least.
 
@@ -97,13 +125,15 @@ def similar(queries: DataFrame, names: DataFrame, limit: int = 3) -> DataFrame:
     places. Pieces with their places are joined by equality, so that only likely pairs are measured; names longer than
     the distance's own bound can't be near and are left out first."""
     short = lambda c: (F.octet_length(c) <= FAR_BYTES) & (F.length(c) > 0)
-    q = queries.select("query").distinct().where(short("query"))
-    own = q.select("query", F.length("query").alias("_m"), F.explode(_pieces(F.col("query"), limit + 1)).alias("_p")).select("query", "_m", F.col("_p.n").alias("_n"), F.col("_p.start").alias("_s"), F.col("_p.piece").alias("_piece"))
+    asked = queries.select("query").distinct().where(short("query"))
     names = names.select("name").distinct().where(short("name"))
+    q = asked.where(F.length("query") > limit)
+    own = q.select("query", F.length("query").alias("_m"), F.explode(_pieces(F.col("query"), limit + 1)).alias("_p")).select("query", "_m", F.col("_p.n").alias("_n"), F.col("_p.start").alias("_s"), F.col("_p.piece").alias("_piece"))
     # For each length that a query may have, where its pieces would begin, moved by every shift.
-    spread = names.select("name", F.explode(F.sequence(F.greatest(F.lit(1), F.length("name") - limit), F.length("name") + limit)).alias("_m")).select("name", "_m", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("_n"))
+    spread = names.select("name", F.explode(F.sequence(F.greatest(F.lit(limit + 1), F.length("name") - limit), F.length("name") + limit)).alias("_m")).select("name", "_m", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("_n"))
     start, end = F.floor(F.col("_m") * F.col("_n") / (limit + 1)).cast("int"), F.floor(F.col("_m") * (F.col("_n") + 1) / (limit + 1)).cast("int")
     moved = spread.select("name", "_m", "_n", start.alias("_s"), (end - start).alias("_l"), F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("_d")).where((F.col("_s") + F.col("_d") >= 0) & (F.col("_s") + F.col("_d") + F.col("_l") <= F.length("name")))
     theirs = moved.select("name", "_m", "_n", F.substr("name", F.col("_s") + F.col("_d") + 1, F.col("_l")).alias("_piece")).distinct()
     pairs = own.join(theirs, ["_m", "_n", "_piece"]).select("query", "name", levenshtein(F.col("query"), F.col("name")).alias("distance")).where(F.col("distance") <= limit)
+    pairs = pairs.unionByName(_near_short(asked.where(F.length("query") <= limit), names, limit))
     return pairs.groupBy("query").agg(F.min(F.struct("distance", "name")).alias("_b")).select("query", F.col("_b.name").alias("suggestion"), F.col("_b.distance").alias("distance"))

@@ -126,7 +126,7 @@ WITH cuts AS (
   UNION ALL SELECT NULL),
 refs AS (SELECT DISTINCT as_of, entity_id, pos, seen_at, strftime(seen_at, '%Y-%m') AS period, lower(coalesce(kind, 'symbol')) AS space, regexp_replace(target, '^\\s+|\\s+$', '', 'g') AS t
   FROM doc_refs, cuts WHERE as_of IS NULL OR ingested_at < as_of),
-params AS (SELECT as_of, entity_id, pos, min(ingested_at) AS at FROM doc_params, cuts WHERE as_of IS NULL OR ingested_at < as_of GROUP BY ALL),
+params AS (SELECT as_of, entity_id, pos, min(ingested_at) AS came FROM doc_params, cuts WHERE as_of IS NULL OR ingested_at < as_of GROUP BY ALL),
 ents AS (SELECT DISTINCT as_of, entity_id FROM entities, cuts WHERE as_of IS NULL OR ingested_at < as_of),
 keyed AS (SELECT *, CASE WHEN space = 'symbol' AND contains(k, '(') THEN split_part(k, '(', 1) ELSE k END AS k2
   FROM (SELECT *, CASE WHEN space = 'symbol' THEN regexp_replace(t, '^::', '') ELSE t END AS k FROM refs WHERE t <> '')),
@@ -143,7 +143,7 @@ orphans AS (
   SELECT as_of, 'doc_refs' AS src_table, 'target' AS ref_field, entity_id, pos, period, CASE WHEN f IS NULL THEN 'never' WHEN f > r.seen_at THEN 'not yet' ELSE 'no longer' END AS reason FROM begun r
   WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.as_of IS NOT DISTINCT FROM r.as_of AND h.entity_id IS NOT DISTINCT FROM r.entity_id AND h.pos = r.pos AND h.seen_at = r.seen_at AND h.space = r.space AND h.k = r.k)
   UNION SELECT as_of, 'doc_refs', 'entity_id', entity_id, pos, period, 'never' FROM refs r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.entity_id = r.entity_id AND e.as_of IS NOT DISTINCT FROM r.as_of)
-  UNION SELECT as_of, 'doc_params', 'entity_id', entity_id, pos, strftime(at, '%Y-%m'), 'never' FROM params r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.entity_id = r.entity_id AND e.as_of IS NOT DISTINCT FROM r.as_of))
+  UNION SELECT as_of, 'doc_params', 'entity_id', entity_id, pos, strftime(came, '%Y-%m'), 'never' FROM params r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.entity_id = r.entity_id AND e.as_of IS NOT DISTINCT FROM r.as_of))
 SELECT as_of, src_table, ref_field, period, reason, count(*) AS orphans FROM orphans GROUP BY ALL
 """
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions import exprs
+from marginalia.functions import doccomment, exprs
 from marginalia.operators import coverage, extract, graph, grouping, links, lint, manifest, render, symbols, testcov
 from marginalia.operators.nested import MODULES_KEY, VERSION_KEY
 from marginalia.sources import sarif
@@ -444,12 +444,64 @@ def content_hashes(spark, d):
     return entities(spark, d).select("entity_id", exprs.content_hash(F.col("doc.raw")).alias("hash"), (F.lower(exprs.short_name(F.col("qualified_name"))) == F.lower("name")).alias("same"))
 
 
-@query(f"""{WITH} SELECT DISTINCT module, kind, line, name FROM ents WHERE kind IN ('function', 'method', 'class', 'struct', 'enum', 'typedef') AND module IN (SELECT path FROM files)""")
+_DECLARED = ("function", "method", "class", "struct", "enum", "typedef", "macro", "type_alias", "concept", "union")
+_FLAGS = ("is_const", "is_constexpr", "is_noexcept", "is_static", "is_virtual")
+
+
+@query(f"""{WITH} SELECT DISTINCT module, kind, line, col_no, name, qualified_name, CASE WHEN kind <> 'macro' THEN namespace END AS namespace, access, method_kind, return_type, ord, depth,
+array_to_string(list_sort(list_filter(map_keys(flags), lambda f: f IN {_FLAGS})), ',') AS flags FROM ents WHERE kind IN {_DECLARED} AND module IN (SELECT path FROM files)""")
 def parse_entities(spark, d):
-    """Declarations of the parsed files, found by our own parser."""
+    """Declarations of the parsed files but include guards, found by our own parser, with their place, scope, kind of method, type and flags.
+
+    ``ord`` counts declarations only. A macro has no namespace, whatever the table gives it."""
     parsed = entities(spark, d).select(F.col("module").alias("path")).distinct()
-    nodes = extract.nodes(sources(spark, d).join(parsed, "path", "left_semi"))
-    return nodes.where("kind in ('function', 'method', 'class', 'struct', 'enum', 'typedef')").select("module", "kind", "line", "name").distinct()
+    nodes = extract.nodes(sources(spark, d).join(parsed, "path", "left_semi")).where(F.col("kind").isin(*_DECLARED) & ~extract.is_guard())
+    ord_ = F.row_number().over(Window.partitionBy("module").orderBy("ord")) - 1
+    flags = F.array_join(F.array_sort(F.filter(F.map_keys("flags"), lambda f: f.isin(*_FLAGS))), ",")
+    return nodes.select("module", "kind", "line", "col_no", "name", "qualified_name", F.when(F.col("kind") != "macro", F.col("namespace")).alias("namespace"), "access", "method_kind", "return_type", ord_.alias("ord"), "depth", flags.alias("flags"))
+
+
+# What the documentation parser makes of the comments, from their text: marks and margins are taken off first, alike on both sides.
+_MARKS = r"(?m)^\s*(/\*\*|/\*!|\*/|\*|///|//!)\s?|\s*\*/\s*$"
+_DOCS = f"""{WITH}, t AS (SELECT entity_id, regexp_replace(doc.raw, '{_MARKS}', '', 'g') AS x FROM ents WHERE doc.raw IS NOT NULL),
+f AS (SELECT *, CASE WHEN regexp_matches(x, '[@\\\\](param|return|brief)') THEN 'doxygen' WHEN regexp_matches(x, '###? ') THEN 'markdown' ELSE 'unknown' END AS format,
+  [trim(l, ' ' || chr(9) || chr(13)) FOR l IN string_split(x, chr(10))] AS ls FROM t),
+n AS (SELECT *, list_position([regexp_matches(l, '^[@\\\\]brief ') OR regexp_matches(l, '^[^@\\\\]') FOR l IN ls], true) AS began FROM f),
+b AS (SELECT *, CASE WHEN began > 0 THEN trim(regexp_replace(ls[began], '^[@\\\\]brief ', '')) END AS brief,
+  [l FOR l IN ls[began + 1:]] AS behind FROM n),
+e AS (SELECT *, list_position([regexp_matches(l, '^[@\\\\](' || '{"|".join(doccomment.END_TAGS)}' || ')') FOR l IN behind], true) AS stop FROM b),
+d AS (SELECT *, nullif(trim(array_to_string(CASE WHEN began IS NULL OR began = 0 THEN [] WHEN stop > 0 THEN behind[1:stop - 1] ELSE behind END, chr(10)), ' *' || chr(9) || chr(10) || chr(13)), '') AS details,
+  regexp_extract_all(array_to_string(ls, chr(10)), '(?m)^[@\\\\][A-Za-z_]+(?:[ \\t][^\\n]*)?(?:\\n[^@\\\\\\n][^\\n]*)*$') AS blocks FROM e),
+g AS (SELECT *, CASE WHEN format = 'doxygen' THEN [struct_pack(tag := regexp_extract(k, '^.([A-Za-z_]+)', 1), rest := trim(replace(regexp_replace(k, '^.[A-Za-z_]+', ''), chr(10), ' '))) FOR k IN blocks] ELSE [] END AS tags FROM d)
+"""
+
+
+def _docs(spark, d):
+    text = F.regexp_replace("doc.raw", _MARKS.replace("(?m)", "(?md)"), "")
+    return entities(spark, d).where("doc.raw is not null").select("entity_id", doccomment.parse_doc(text).alias("d"))
+
+
+@query(_DOCS + """SELECT entity_id, format, brief, CASE WHEN format = 'doxygen' THEN details END AS details, list_filter(tags, lambda k: k.tag IN ('return', 'returns'))[-1].rest AS returns,
+list_filter(tags, lambda k: k.tag = 'since' AND k.rest <> '')[-1].rest AS since, CASE WHEN list_filter(tags, lambda k: k.tag = 'deprecated')[-1].rest = '' THEN 'This is deprecated.' ELSE list_filter(tags, lambda k: k.tag = 'deprecated')[-1].rest END AS deprecated,
+array_to_string([k.rest FOR k IN tags IF k.tag IN ('see', 'sa') AND k.rest <> ''], '|') AS see_also, array_to_string([k.rest FOR k IN tags IF k.tag = 'note' AND k.rest <> ''], '|') AS notes,
+array_to_string([k.rest FOR k IN tags IF k.tag = 'warning' AND k.rest <> ''], '|') AS warnings, array_to_string([k.rest FOR k IN tags IF k.tag = 'todo' AND k.rest <> ''], '|') AS todos, array_to_string([k.rest FOR k IN tags IF k.tag = 'bug' AND k.rest <> ''], '|') AS bugs,
+list_filter(tags, lambda k: k.tag = 'author' AND k.rest <> '')[-1].rest AS author, list_filter(tags, lambda k: k.tag = 'version' AND k.rest <> '')[-1].rest AS version FROM g""")
+def parse_docs(spark, d):
+    """The documentation parser on every stored comment: format, brief, details and the texts of tags."""
+    lists = [F.array_join(f"d.{x}", "|").alias(x) for x in ("see_also", "notes", "warnings", "todos", "bugs")]
+    return _docs(spark, d).select("entity_id", *(f"d.{x}" for x in ("format", "brief", "details", "returns", "since", "deprecated", "author", "version")), *lists)
+
+
+@query(_DOCS + """, p AS (SELECT entity_id, unnest([k FOR k IN tags IF k.tag IN ('param', 'tparam', 'throw', 'exception', 'retval') AND k.rest <> '']) AS k FROM g)
+SELECT entity_id, k.tag AS tag, split_part(k.rest, ' ', 1) AS name, CASE WHEN contains(k.rest, ' ') THEN trim(substr(k.rest, instr(k.rest, ' ') + 1)) ELSE '' END AS description FROM p""")
+def parse_doc_params(spark, d):
+    """The parameters, template parameters, exceptions and return values that stored comments name."""
+    docs = _docs(spark, d)
+    out = None
+    for field, name, tags in (("params", "name", "param"), ("tparams", "name", "tparam"), ("exceptions", "type", "throw"), ("retvals", "value", "retval")):
+        rows = docs.select("entity_id", F.explode(f"d.{field}").alias("p")).select("entity_id", F.lit(tags).alias("tag"), F.col(f"p.{name}").alias("name"), F.col("p.description").alias("description"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _parsed(spark, d):

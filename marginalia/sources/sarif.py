@@ -58,7 +58,7 @@ def module_documents(parsed: DataFrame) -> DataFrame:
     location = F.struct(F.col("line").alias("line"), F.col("col_no").alias("column"))
     flag = lambda f: F.coalesce(F.col("flags")[f], F.lit(False))
     method = parsed.where("kind = 'method'").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct(
-        "ord", F.struct("name", F.col("return_type").alias("returnType"), F.col("access"), F.col("method_kind").alias("kind"), flag("is_static").alias("isStatic"), flag("is_virtual").alias("isVirtual"), flag("is_const").alias("isConst"), args.alias("params"), doc.alias("doc")).alias("m"),
+        "ord", F.struct("name", F.col("return_type").alias("returnType"), F.col("access"), F.regexp_replace("method_kind", "^(operator|conversion)_.*", "$1").alias("kind"), flag("is_static").alias("isStatic"), flag("is_virtual").alias("isVirtual"), flag("is_const").alias("isConst"), args.alias("params"), doc.alias("doc")).alias("m"),
     ))).alias("_m"))
     field = parsed.where("kind = 'field'").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("name", F.col("underlying").alias("type"), "access").alias("f")))).alias("_f"))
     full = parsed.where("kind not in ('method', 'field', 'include', 'union', 'variable', 'friend')").join(method.withColumnRenamed("parent_id", "entity_id"), "entity_id", "left").join(field.withColumnRenamed("parent_id", "entity_id"), "entity_id", "left")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENTS = "uri string, seq bigint, action string, text string, start_line int, start_char int, end_line int, end_char int"
@@ -88,12 +88,36 @@ def states(events: DataFrame) -> DataFrame:
 
 
 def states_batch(events: DataFrame) -> DataFrame:
-    """The same from a table of events; a document's events are one group, since each edit needs the text before it."""
-
-    def step(events: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(None, events)[1], columns=["uri", "seq", "action", "text"])
-
-    return events.where("uri is not null").groupBy("uri").applyInPandas(step, STATES)
+    """The same from a table of events.
+
+    Where all edits of a document replace the whole text, its text after an event is what the last event that set it brought: a
+    window in the JVM. Only documents with ranged edits are folded one edit after the other, in a stream ordered by document and
+    number: a task keeps one text at a time, never a document's whole history."""
+    own = events.where("uri is not null")
+    ranged = own.where("start_line is not null").select("uri").distinct()
+    before = Window.partitionBy("uri").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("uri").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    is_open = F.coalesce(F.last(F.when(F.col("action").isin("open", "close"), F.col("action")), ignorenulls=True).over(before) == "open", F.lit(False))
+    marked = own.join(ranged, "uri", "left_anti").withColumn("_counts", (F.col("action") == "open") | (is_open & F.col("action").isin("close", "change", "save")))
+    new = F.when(F.col("action") == "close", F.lit(None).cast("string")).otherwise(F.coalesce("text", F.lit("")))
+    sets = F.col("_counts") & ~((F.col("action") == "save") & F.col("text").isNull())
+    whole = marked.withColumn("_t", F.last(F.when(sets, F.struct(new.alias("t"))), ignorenulls=True).over(so_far)).where("_counts").select("uri", "seq", "action", F.col("_t.t").alias("text"))
+    edited = own.join(ranged, "uri", "left_semi").select(*[c.split()[0] for c in EVENTS.split(", ")]).repartition("uri").sortWithinPartitions("uri", "seq").mapInPandas(_folded, STATES)
+    return whole.unionByName(edited)
+
+
+def _folded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edits in order of document and number, one after the other."""
+    uri, text = None, None
+    for part in parts:
+        rows: list[tuple] = []
+        for at, events in part.groupby("uri", sort=False):
+            text = text if at == uri else None
+            uri = at
+            text, some = _fold(text, events)
+            rows += some
+        if rows:
+            yield pd.DataFrame(rows, columns=["uri", "seq", "action", "text"])
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -106,8 +130,26 @@ def to_diagnostics(issues: DataFrame) -> DataFrame:
     return issues.select(F.col("file").alias("uri"), F.greatest(F.col("line") - 1, F.lit(0)).alias("line"), F.coalesce(level, F.lit("warning")).alias("severity"), F.coalesce("code", F.lit("W000")).alias("code"), "message")
 
 
-def diagnose(changed: DataFrame) -> DataFrame:
-    """Diagnostics of each text (uri, text): parsed alone, so references to other files look unresolved, as in an editor."""
+def at_line(diagnostics: DataFrame, line: int) -> DataFrame:
+    """The diagnostics that begin on a 0-based line, for what is shown there."""
+    return diagnostics.where(F.col("line") == line)
+
+
+def untested(own: DataFrame, tests: DataFrame) -> DataFrame:
+    """A hint for each function and class of parsed texts that no test file (path, content) uses: uri, line, severity, code, message."""
+    from marginalia.operators import symbols, testcov
+
+    keys = symbols.candidates(own).where(F.col("kind").isin("function", "class", "method"))
+    used = testcov.uses(tests).select(F.col("name").alias("lookup_key")).distinct()
+    seen = keys.join(used, "lookup_key", "left_semi").select("entity_id").distinct()
+    lost = own.where(F.col("kind").isin("function", "class", "method")).join(seen, "entity_id", "left_anti")
+    return lost.select(F.col("module").alias("uri"), F.greatest(F.col("line") - 1, F.lit(0)).alias("line"), F.lit("hint").alias("severity"), F.lit("T001").alias("code"), F.concat(F.lit("No tests for '"), F.col("qualified_name"), F.lit("'")).alias("message"))
+
+
+def diagnose(changed: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """Diagnostics of each text (uri, text): parsed alone, so references to other files look unresolved, as in an editor.
+
+    With ``tests`` (path, content) there are hints for what no test uses."""
     from marginalia.operators import coverage, extract, grouping, lint, symbols
     from marginalia.runtime import materialize
 
@@ -121,15 +163,16 @@ def diagnose(changed: DataFrame) -> DataFrame:
     lost = seen.select(F.col("module").alias("file"), "line", F.col("qualified_name").alias("entity_name"), F.col("kind").alias("entity_type"), F.lit("warning").alias("severity"), F.lit("W007").alias("code"), F.concat(F.lit("@see '"), "lookup_key", F.lit("' - symbol not found")).alias("message"), F.lit(None).cast("string").alias("suggestion"))
     found = to_diagnostics(issues.unionByName(lost)).withColumnRenamed("uri", "file")
     missing = coverage.missing_items(own).select("file", F.greatest(F.col("line") - 1, F.lit(0)).alias("line"), F.lit("warning").alias("severity"), F.lit("W000").alias("code"), F.col("issue").alias("message"))
-    return grouping.merge_diagnostics(found, missing).withColumnRenamed("file", "uri")
+    merged = grouping.merge_diagnostics(found, missing).withColumnRenamed("file", "uri")
+    return merged if tests is None else merged.unionByName(untested(own, tests))
 
 
-def run(events: DataFrame, checkpoint: str, publish: Callable[[DataFrame, int], None], once: bool = True):
+def run(events: DataFrame, checkpoint: str, publish: Callable[[DataFrame, int], None], once: bool = True, tests: DataFrame | None = None):
     """Start the stream: for each batch the diagnostics of the last text of every changed document go to ``publish``; a closed one gets none."""
 
     def each(batch: DataFrame, number: int) -> None:
         last = latest(batch)
-        publish(last.select("uri", "seq").join(diagnose(last), "uri", "left"), number)
+        publish(last.select("uri", "seq").join(diagnose(last, tests), "uri", "left"), number)
 
     writer = states(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
     return writer.trigger(availableNow=True).start() if once else writer.start()

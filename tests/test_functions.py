@@ -31,8 +31,6 @@ def test_predicates(spark):
     assert one(spark, *[X.is_void(F.lit(v)) for v in ("void", " void\t", "", "void*")], a="") == (True, True, True, False)
     assert one(spark, *[X.is_anchor_id(F.lit(v)) for v in ("a-b_1", "a b", "")], a="") == (True, False, False)
     assert one(spark, X.levenshtein(F.lit("test"), F.lit("tset")), X.levenshtein(F.lit(""), F.lit("abc")), X.levenshtein(F.lit("a" * 21), F.lit("a")), X.levenshtein(F.lit("a" * 20), F.lit("a" * 19)), a="") == (2, 3, 100, 1)
-    kinds = [X.method_kind(F.lit(n), F.lit("n::Box"), F.lit(r) if r else F.lit(None).cast("string"), F.lit(t), F.lit(p)) for n, r, t, p in (("~Box", None, "", 0), ("Box", None, "", 0), ("Box", None, "const Box &", 1), ("Box", None, "Box&&", 1), ("go", "int", "", 0))]
-    assert one(spark, *kinds, a="") == ("destructor", "constructor", "copy_constructor", "move_constructor", "regular")
 
 
 def test_offsets_and_excerpts(spark):

@@ -16,7 +16,7 @@ b\q"', 0)) == "a\nAéAbq"
 
 def test_functions_and_parameters():
     f = by("static inline unsigned long *get(const char *name, int (*cb)(int), T<a, b> v = T<a, b>{1}, int x[3], ...) noexcept;", "function")[0]
-    assert f.return_type == "unsigned long*" and [(p.name, p.type) for p in f.params[:4]] == [("name", "const char*"), ("cb", "int(*)(int)"), ("v", "T<a, b>"), ("x", "int[3]")]
+    assert f.return_type == "unsigned long *" and [(p.name, p.type) for p in f.params[:4]] == [("name", "const char *"), ("cb", "int(*)(int)"), ("v", "T<a, b>"), ("x", "int[3]")]
     assert f.flags >= {"is_static", "is_inline", "is_noexcept", "is_variadic"}
     assert by("int f(void);", "function")[0].params == []
     assert by("int a(3), b; Foo x(\"s\"); int (*fp)(int); typedef int (*t)(int); using u = int(int); MACRO(a) return f(x);", "function") == []
@@ -104,5 +104,5 @@ def test_pages_and_groups():
 def test_constraints_and_friends():
     code = "template <typename T> requires Sized<T> && (sizeof(T) > 2) T* get(T t);\ntemplate <class T> void put(T t) requires requires(T x) { x.a(); } { body(); }\nclass A { friend class B; friend int f(A a); };\nconcept C = true;"
     f = {n.name: n for n in by(code, "function")}
-    assert f["get"].requires == "Sized<T> && (sizeof(T) > 2)" and f["get"].return_type == "T*" and f["put"].requires.startswith("requires(T x) {") and "has_body" in f["put"].flags
+    assert f["get"].requires == "Sized<T> && (sizeof(T) > 2)" and f["get"].return_type == "T *" and f["put"].requires.startswith("requires(T x) {") and "has_body" in f["put"].flags
     assert [n.name for n in by(code, "friend")] == ["B"] and [n.name for n in by(code, "method")] == ["f"]
