@@ -2,7 +2,8 @@
 
 A lexer takes comments and string literals from each file; code-like parts are removed; the language of what is
 left is identified by naive Bayes over character n-grams of words, and a shortest path over the words (changing
-language has a price) cuts a comment into passages of one language. Bytes are totalled per file and language.
+language has a price) cuts a comment into passages of one language. Each passage keeps the place in its file where it
+begins and ends; the bytes of the file between these, marks and escapes as they stand there, are totalled per language.
 
 Defined results: null and empty content have no passages; a file sent twice counts once; a file without natural
 language has no rows; other columns of the input are ignored.
@@ -28,7 +29,7 @@ ORDERS = (1, 2, 3, 4)
 SMOOTH, WEIGHT, CHANGE, MOST = 0.5, 0.35, 9.0, 8.0
 #: Words remembered by a worker.
 CACHE = 200_000
-PASSAGES = "path string, kind string, line int, start int, part int, lang string, words int, chars int, bytes int, content_bytes bigint, text string"
+PASSAGES = "path string, kind string, line int, start int, part int, lang string, words int, chars int, from_char int, to_char int, bytes int, content_bytes bigint, text string"
 _RUN = re.compile(rf"[{CJK}]+")
 
 
@@ -123,9 +124,9 @@ class Bayes:
         return out
 
 
-def literals(content: str) -> list[tuple[str, int, str]]:
-    """(kind, offset, text) of comments, runs of line comments being one, and of string literals, adjacent ones being joined."""
-    out: list[tuple[str, int, str]] = []
+def literals(content: str) -> list[tuple[str, int, str, list[tuple[Token, int]]]]:
+    """(kind, offset, text, tokens with their offsets) of comments, runs of line comments being one, and of string literals, adjacent ones being joined."""
+    out: list[tuple[str, int, str, list[tuple[Token, int]]]] = []
     last: Token | None = None
     lines: list[str] = []
     start, alone, first_column = 0, True, 0
@@ -138,7 +139,7 @@ def literals(content: str) -> list[tuple[str, int, str]]:
         if t.kind == "pp":
             if not re.match(r"\s*#\s*(include|import|line|pragma)", t.text):
                 inner = tokens(re.sub(r"^(\s*)#", r"\1 ", t.text))
-                out += [("string", t.start + x.start, string_value(x)) for x in inner if x.kind in ("str", "raw")]
+                out += [("string", t.start + x.start, string_value(x), [(x, t.start + x.start)]) for x in inner if x.kind in ("str", "raw")]
             continue
         if t.kind == "lc":
             gap = content[last.start + len(last.text) : t.start] if last is not None and last.kind == "lc" else None
@@ -147,18 +148,18 @@ def literals(content: str) -> list[tuple[str, int, str]]:
             # A comment behind code goes on where the next line's begins in the same column.
             if gap is not None and own_line and gap.count("\n") == 1 and not gap.strip() and (alone or column == first_column):
                 lines.append(t.text)
-                out[-1] = ("comment", start, "\n".join(comment_text(x) for x in lines))
+                out[-1] = ("comment", start, "\n".join(comment_text(x) for x in lines), [*out[-1][3], (t, t.start)])
             else:
                 lines, start, alone, first_column = [t.text], t.start, own_line, column
-                out.append(("comment", start, comment_text(t.text)))
+                out.append(("comment", start, comment_text(t.text), [(t, start)]))
         elif t.kind == "bc":
-            out.append(("comment", t.start, comment_text(t.text)))
+            out.append(("comment", t.start, comment_text(t.text), [(t, t.start)]))
         elif t.kind in ("str", "raw"):
             if joined >= 0:
-                kind, at, text = out[joined]
-                out[joined] = (kind, at, text + string_value(t))
+                kind, at, text, parts = out[joined]
+                out[joined] = (kind, at, text + string_value(t), [*parts, (t, t.start)])
             else:
-                out.append(("string", t.start, string_value(t)))
+                out.append(("string", t.start, string_value(t), [(t, t.start)]))
                 joined = len(out) - 1
         if t.kind not in ("str", "raw", "lc", "bc"):
             joined = -1
@@ -168,16 +169,25 @@ def literals(content: str) -> list[tuple[str, int, str]]:
 
 _TAG = re.compile(r"^\s*[@\\]([A-Za-z]+)(?:\[[\w, ]*\])?\s*")
 _NAMED = {"param", "tparam", "retval", "throw", "throws", "exception", "see", "sa", "ref", "copydoc", "anchor", "file", "defgroup", "ingroup", "addtogroup", "page", "section"}
+_TOKEN = re.compile(r"\S+")
+_ESCAPED = re.compile(r"\\(\r?\n|x[0-9a-fA-F]+|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)", re.S)
 _SKIPPED = {"code": "endcode", "verbatim": "endverbatim", "mermaid": "endmermaid", "dot": "enddot"}
 
 
-def blocks(text: str) -> list[list[str]]:
-    """The stretches of a literal in which a passage may lie: blank-divided tokens between blank lines, tags and code."""
-    out: list[list[str]] = [[]]
+def _without_fence(m: re.Match) -> str:
+    return "\n\n" + " " * (len(m.group()) - 2)
+
+
+def blocks(text: str) -> list[list[tuple[str, int]]]:
+    """The stretches of a literal in which a passage may lie: blank-divided tokens, with their places, between blank lines, tags and code."""
+    out: list[list[tuple[str, int]]] = [[]]
     until = None
     if "```" in text:
-        text = _FENCE.sub("\n\n", text)
+        text = _FENCE.sub(_without_fence, text)
+    at = 0
     for line in text.split("\n"):
+        place = at
+        at += len(line) + 1
         m = _TAG.match(line)
         if until is not None:
             if m and m.group(1) == until:
@@ -189,24 +199,95 @@ def blocks(text: str) -> list[list[str]]:
             continue
         if m:
             out.append([])
-            line = line[m.end() :]
+            whole, line = line, line[m.end() :]
             if m.group(1) in _NAMED:
                 line = line.partition(" ")[2]
-        left = uncoded(line)
+            place += len(whole) - len(line)
+        left = uncoded(line)  # what is behind the code
         if left != line or not line.strip():
             out.append([])
-        line = left
-        out[-1] += _LINK.sub(" ", line).split()
+        place += len(line) - len(left)
+        out[-1] += [(x.group(), place + x.start()) for x in _TOKEN.finditer(_LINK.sub(lambda m: " " * len(m.group()), left))]
     return [b for b in out if b]
 
 
+def _line_places(text: str, start: int, mark: str, first: bool = False) -> list[int]:
+    """Where each character of the lines of a comment stands, without what ``mark`` matches and blanks at their ends; a place for each line end too."""
+    out: list[int] = []
+    at = start
+    for n, line in enumerate(re.split("(\r?\n)", text)):
+        if n % 2 == 0:
+            if first and n == 0:
+                begin = len(line) - len(line.lstrip())
+            else:
+                m = re.match(mark, line)
+                begin = m.end() if m else 0
+            out += range(at + begin, at + max(begin, len(line.rstrip())))
+        else:
+            out.append(at)
+        at += len(line)
+    return out
+
+
+def _string_places(token: Token, start: int) -> list[int]:
+    """Where each character of a string literal's value stands; one that an escape spells where the escape begins."""
+    text = token.text
+    if token.kind == "raw":
+        begin = text.index("(") + 1
+        return list(range(start + begin, start + begin + len(string_value(token))))
+    begin, value = text.index('"') + 1, string_value(token)
+    inner = text[begin:].removesuffix('"')
+    if "\\" not in inner:
+        return list(range(start + begin, start + begin + len(value)))
+    out, at, run = [], 0, 0
+
+    def bytes_until(end: int) -> None:  # a run of byte escapes is read as UTF-8
+        nonlocal run
+        if end > run:
+            out.extend(start + begin + run for _ in range(len(string_value(Token("str", '"' + inner[run:end] + '"', 0)))))
+        run = end
+
+    for m in _ESCAPED.finditer(inner):
+        byte = m.group(1)[0] in "x01234567"
+        if m.start() > at or not byte:
+            bytes_until(at)
+            out.extend(range(start + begin + at, start + begin + m.start()))
+            run = m.start()
+        at = m.end()
+        if not byte:
+            bytes_until(at)
+    bytes_until(at)
+    out.extend(range(start + begin + at, start + begin + len(inner)))
+    return out
+
+
+def places(kind: str, parts: list[tuple[Token, int]]) -> list[int]:
+    """Where each character of a literal's text stands in its file, and where the literal ends."""
+    out: list[int] = []
+    for n, (t, start) in enumerate(parts):
+        if kind == "string":
+            out += _string_places(t, start)
+        else:
+            out += [start - 1] * (n > 0)  # the line end that joins two line comments
+            if t.kind == "bc":
+                body = re.sub(r"\*+/\Z", "", t.text)
+                opened = re.match(r"/\*+[!<]*<?", body)
+                begin = opened.end() if opened else len(body)
+                out += _line_places(body[begin:], start + begin, r"^\s*\*+ ?|^\s+", True)
+            else:
+                out += _line_places(t.text, start, r"^\s*//[/!]*<? ?")
+    last, start = parts[-1]
+    return [*out, start + len(last.text)]
+
+
 def passages(model: Bayes, content: str | None) -> list[tuple]:
-    """(kind, offset, language, words, CJK characters, text) of each passage that is long enough."""
+    """(kind, offset, language, words, CJK characters, text, first place, last place) of each passage that is long enough."""
     out = []
-    for kind, offset, text in literals(content or ""):
+    for kind, offset, text, parts in literals(content or ""):
+        where = None
         for block in blocks(text):
             units: list[tuple[int, str, int]] = []  # token, word or CJK run, CJK characters
-            for n, token in enumerate(block):
+            for n, (token, _) in enumerate(block):
                 if CJK_CHAR.search(token):
                     units += [(n, run, len(run)) for run in _RUN.findall(token)]
                 else:
@@ -225,7 +306,12 @@ def passages(model: Bayes, content: str | None) -> list[tuple]:
                 words, cjk = last - first + 1, sum(u[2] for u in units[a:b])
                 natural = sum(1 for u in units[a:b] if len(u[1]) > 1)
                 if cjk >= PASSAGE_CJK if lang in ("zh", "ja") else (words >= PASSAGE_WORDS and natural >= SENTENCE_WORDS):
-                    out.append((kind, offset, lang, words, cjk, " ".join(block[first : last + 1])))
+                    where = where or places(kind, parts)
+                    end = block[last][1] + len(block[last][0])
+                    shown = " ".join([t for t, _ in block[first : last + 1]])
+                    # The last character may be spelt by several: the passage ends where the next one, or the line, does.
+                    to = where[end] if where[end] > where[end - 1] + 1 and content[where[end - 1]] == "\\" else where[end - 1] + 1
+                    out.append((kind, offset, lang, words, cjk, shown, where[block[first][1]], to))
     return out
 
 
@@ -239,8 +325,8 @@ def _finder(model: Bayes):
                 part, rows = batch.slice(start, 128), []
                 for path, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     size = len(content.encode("utf-8", "replace"))
-                    for n, (kind, offset, lang, words, cjk, text) in enumerate(passages(model, content)):
-                        rows.append((path, kind, content.count("\n", 0, offset) + 1, offset, n, lang, words, len(text), len(text.encode("utf-8", "replace")), size, text))
+                    for n, (kind, offset, lang, words, cjk, text, a, b) in enumerate(passages(model, content)):
+                        rows.append((path, kind, content.count("\n", 0, offset) + 1, offset, n, lang, words, len(text), a, b, len(content[a:b].encode("utf-8", "replace")), size, text))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -103,7 +103,7 @@ def test_fit_without_rows(spark, tables):
 
 def test_literals():
     code = 'int x; // one\n// two\n/* three\n * four */ char *s = "a\\n" /* in */ "b\\x41" u8R"(raw "x")"; #define\n  #define M "in macro"\n// five\n\nf(\'"\', "x//y");'
-    got = [(k, t) for k, _, t in codelang.literals(code)]
+    got = [(k, t) for k, _, t, _ in codelang.literals(code)]
     assert ("comment", "one") in got and ("comment", "two") in got and ("comment", "three\nfour") in got and ("comment", "five") in got
     assert ("string", 'a\nbAraw "x"') in got and ("string", "in macro") in got and ("string", "x//y") in got
 
@@ -147,3 +147,26 @@ def test_passage_behind_code_on_one_line(bayes):
     found = codelang.passages(bayes, f"/* int f(int x); {HELD['de']} */")
     assert [(p[2], p[5]) for p in found] == [("de", HELD["de"])]
     assert codelang.passages(bayes, "/* for (int i = 0; i < n; i++) { add(first, second, third); }\n * int a = read(b); int c = read(d); */") == []
+
+
+def test_shares_are_bytes_of_the_file(spark, bayes):
+    words = "the caller must close the file before the next step begins here"
+    german = "der Aufrufer muss die Datei schließen, bevor der nächste Schritt beginnt"
+    files = {
+        "a.h": (f"// the caller must   close\n//     the file before\n//\tthe next step begins here\nint a;\n", [("en", len("the caller must   close\n//     the file before\n//\tthe next step begins here"))]),
+        "b.h": (f"/* {words}\n */", [("en", len(words))]),
+        "c.h": (f'puts("{german.replace("ß", chr(92) + "xc3" + chr(92) + "x9f")}");', [("de", len(german.encode()) - 2 + 8)]),
+        "d.h": ("int x;", []),
+        "e.h": (f'f("the caller must close " /* x */ "the file before the next step begins\\n");', None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in files.items()], "path string, content string")
+    found = codelang.find(df, bayes)
+    got = {(r["path"], r["lang"]): r for r in codelang.shares(codelang.distinct(found)).collect()}
+    for path, (content, want) in files.items():
+        for lang, size in want or []:
+            assert got[path, lang]["bytes"] == size, path
+            assert got[path, lang]["share"] == round(size / len(content.encode()), 6)
+    for r in found.collect():
+        part = files[r["path"]][0][r["from_char"] : r["to_char"]]
+        assert part[0].isalpha() and r["bytes"] == len(part.encode())
+    assert ("d.h", "en") not in got

@@ -65,3 +65,27 @@ def test_test_tables(spark):
     d, i = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/eval_items.parquet")
     docs = [(r["doc_id"], r["text"]) for r in d.collect()]
     assert {tuple(r) for r in leaks.exact(leaks.leaks(d, i)).collect()} == brute(docs, [(r["item_id"], r["text"]) for r in i.collect()])
+
+
+def test_both_forms_give_the_same_rows_and_find_short_items(spark):
+    item = [f"w{k}" for k in range(30)]
+    say = " ".join
+    items = [(1, say(item), "test", 0), (2, "Short text", "test", 0), (3, "w7", "test", 0), (4, say(item[3:14]), "test", 0), (5, "a b a b a b a b a b a b a b a b", "test", 0), (6, "_ - _", "test", 0)]
+    docs = [
+        (1, "a short; TEXT"), (2, "short of text"), (3, say(item[2:15])), (4, say(item[:6] + ["x"] + item[6:20])), (5, say(item[18:])), (6, "a b " * 40), (7, say(item[1:12])), (8, ""), (9, None), (10, "short text short text"),
+        (11, say(["z"] + item[1:])), (12, say(item[:12] + ["q"] * 30 + item[12:])), (3, say(item[2:15])),
+    ]
+    d, i = frames(spark, docs, items)
+    one, two = (sorted(tuple(r) for r in leaks.leaks(d, i, block_chars=n).collect()) for n in (1 << 20, 1))
+    assert one == two
+    pairs = {(r[0], r[1]) for r in one}
+    assert {p for p in pairs if p[1] == 2} == {(1, 2), (10, 2)} and (3, 4) in pairs and (7, 4) not in pairs and (3, 3) in pairs and (2, 2) not in pairs
+    assert {(r[0], r[1]) for r in one if r[1] == 1} >= {(3, 1), (4, 1), (5, 1), (11, 1), (12, 1)}
+    assert not {r["item_id"] for r in leaks.exact(leaks.leaks(d, i)).collect()} & {2, 3, 4, 6}
+
+
+def test_leaks_of_the_test_tables_in_both_forms(spark):
+    base = "/root/testdata/sf0.001"
+    d, i = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/eval_items.parquet")
+    one, two = (sorted(tuple(r) for r in leaks.leaks(d, i, block_chars=n).collect()) for n in (1 << 30, 1))
+    assert one == two and one
