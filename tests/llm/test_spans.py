@@ -25,9 +25,9 @@ def brute(texts, span):
     return out
 
 
-def found(spark, texts, span, k):
+def found(spark, texts, span, k, **options):
     df = spark.createDataFrame(list(texts.items()), "entity_id string, text string")
-    got = [tuple(r) for r in spans.rows(spans.shared_spans(df, span, k)).collect()]
+    got = [tuple(r) for r in spans.rows(spans.shared_spans(df, span, k, **options)).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -56,7 +56,25 @@ def corpus(seed):
 def test_against_brute_force(spark):
     for seed, span, k in ((1, 20, 12), (2, 24, 24)):
         texts = corpus(seed)
-        assert found(spark, texts, span, k) == brute(texts, span)
+        want = brute(texts, span)
+        assert found(spark, texts, span, k) == want
+    assert found(spark, texts, span, k, many=2) == want  # runs joined by hash
+
+
+def test_texts_longer_than_a_part(spark, monkeypatch):
+    letters = np.random.default_rng(7).integers(97, 105, 10_000_000).astype(np.uint8).tobytes().decode()
+    cut = spans.CHARS
+    texts = {"a": letters, "b": "x" * 50 + letters[7_000_000:7_000_400], "c": letters[:300], "d": letters[cut - 100 : cut + 100] + "y", "e": letters[-170:]}
+    want = {("a", 0, 300), ("a", cut - 100, cut + 100), ("a", 7_000_000, 7_000_400), ("a", 9_999_830, 10_000_000), ("b", 50, 450), ("c", 0, 300), ("d", 0, 200), ("e", 0, 170)}
+    assert found(spark, texts, spans.SPAN, spans.K) == want
+
+
+def test_parts_give_the_anchors_of_the_whole(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcd") for _ in range(n)) for n in (700, 90, 161, 160, 159, 3000)]
+    whole = {tuple(map(int, row)) for part in spans.seeds_of(texts, 30, 20) for row in zip(*part)}
+    monkeypatch.setattr(spans, "CHARS", 97)
+    assert {tuple(map(int, row)) for part in spans.seeds_of(texts, 30, 20) for row in zip(*part)} == whole and whole
 
 
 def test_long_text_and_no_rows(spark):
