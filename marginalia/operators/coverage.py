@@ -17,11 +17,23 @@ def counted(entities: DataFrame, exclude: list[str] | None = None) -> DataFrame:
 
 
 def by_kind(entities: DataFrame, missing: DataFrame | None = None) -> DataFrame:
-    """Total, documented and percentage of each kind and, with kind null, of all."""
-    kind = F.when(F.col("kind") == "method", F.lit("function")).otherwise(F.col("kind"))
-    own = counted(entities).select("entity_id", kind.alias("kind"), has_docs(F.col("doc")).alias("_d"))
+    """Total, documented and percentage of each kind and, with kind null, of all.
+
+    With ``missing`` (rows of ``missing_items``) also how many parameters and returns documented declarations leave out."""
+    kind = lambda c: F.when(F.col(c) == "method", F.lit("function")).otherwise(F.col(c))
+    own = counted(entities).select("entity_id", kind("kind").alias("kind"), has_docs(F.col("doc")).alias("_d"))
     total, documented = F.count(F.lit(1)), F.count_if("_d")
-    return own.rollup("kind").agg(total.alias("total"), documented.alias("documented")).withColumn("percentage", F.round(percentage(F.col("documented"), F.col("total")), 6))
+    out = own.rollup("kind").agg(total.alias("total"), documented.alias("documented")).withColumn("percentage", F.round(percentage(F.col("documented"), F.col("total")), 6))
+    if missing is None:
+        return out
+    lost = missing.select(kind("entity_type").alias("kind"), "issue").rollup("kind").agg(F.count_if(F.startswith("issue", F.lit("missing @param"))).alias("_p"), F.count_if(F.col("issue") == "missing @return").alias("_r"))
+    joined = out.join(lost, out["kind"].eqNullSafe(lost["kind"]), "left").select(*(out[c] for c in out.columns), F.coalesce("_p", F.lit(0)).alias("missing_params"), F.coalesce("_r", F.lit(0)).alias("missing_returns"))
+    return joined
+
+
+def summary_line(coverage: DataFrame) -> DataFrame:
+    """The total as one line of text."""
+    return coverage.where("kind is null").select(F.format_string("Documentation coverage: %.1f%% (%d/%d)", "percentage", "documented", "total").alias("text"))
 
 
 def missing_items(entities: DataFrame, params=None, doc_params=None, tparams=None, doc_tparams=None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import anchor, class_simple_name, header_title, html_escape, namespace_hidden, stem
 from marginalia.operators import grouping
+from marginalia.runtime import hadoop
 
 #: Fixed: sections of a module page and their headings.
 HEADINGS = {"function": "Functions", "struct": "Structs", "union": "Unions", "enum": "Enums", "typedef": "Typedefs", "macro": "Macros", "class": "Classes", "type_alias": "Type Aliases", "concept": "Concepts"}
@@ -151,18 +152,19 @@ def book_toml(title: str = "API Reference", language: str = "en", authors: list[
 
 
 def write_book(pages: DataFrame, folder: str, toml: str | None = None) -> None:
-    """Each row (path, content) as a file below ``folder``, written by the tasks; a task that runs again writes the same bytes."""
-    import os
-
-    def put(rows):
-        for r in rows:
-            at = os.path.join(folder, "src", r["path"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(f"{at}.tmp", "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"])
-            os.replace(f"{at}.tmp", at)
-
-    os.makedirs(os.path.join(folder, "src"), exist_ok=True)
-    with open(os.path.join(folder, "book.toml"), "w", encoding="utf-8") as f:
-        f.write(toml or book_toml())
-    pages.select("path", "content").foreachPartition(put)
+    """Each row (path, content) as a file below ``folder``, which all machines must reach: a URI of any Hadoop file system.
+
+    The rows go through a table in the folder, whose files the driver's file system then writes out one row at a time; a path given
+    twice is written once, with the least content."""
+    spark = pages.sparkSession
+    once = pages.groupBy("path").agg(F.min("content").alias("content"))
+
+    def put(name: str, text: str) -> None:
+        fs, at = hadoop(spark, f"{folder}/{name}")
+        out = fs.create(at, True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+
+    put("book.toml", toml or book_toml())
+    for row in once.toLocalIterator(prefetchPartitions=True):  # one partition at a time, never the whole book
+        put(f"src/{row['path']}", row["content"])

@@ -13,16 +13,22 @@ ORDER = {"function": 0, "struct": 1, "enum": 2, "typedef": 3, "class": 4, "metho
 
 
 def candidates(entities: DataFrame, params: DataFrame | None = None) -> DataFrame:
-    """Every key that a declaration may be found by: the full name, the short name, ``C::m`` and, with parameters, the signature.
+    """Every key that a declaration may be found by: the full name, the short name, a unique name given in its documentation
+    (one that begins with ``*`` in the scope of the declaration; without a scope that one is no key) and, with parameters, the signature.
 
     ``place`` orders all registrations: module order, kind, order in the module, then full before short names."""
     kinds = F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv])
-    own = entities.where(F.col("kind").isin(*ORDER)).select("entity_id", "module", "kind", "name", "qualified_name", "ord")
+    own = entities.where(F.col("kind").isin(*ORDER)).select("entity_id", "module", "kind", "name", "qualified_name", "ord", *(["doc"] if "doc" in entities.columns else []))
     keys = [F.struct(F.lit(0).alias("rank"), F.col("qualified_name").alias("key")), F.struct(F.lit(1).alias("rank"), short_name(F.col("qualified_name")).alias("key"))]
+    if "doc" in own.columns and "unique_name" in own.schema["doc"].dataType.names:
+        given = F.col("doc.unique_name")
+        scope = F.regexp_extract("qualified_name", "^(.*::)[^:]*$", 1)
+        unique = F.when(~given.startswith("*"), given).when(scope != "", F.concat(scope, F.substr(given, F.lit(2))))
+        keys.append(F.when(unique.isNotNull(), F.struct(F.lit(2).alias("rank"), unique.alias("key"))))
     if params is not None:
         typed = params.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type_str"))), lambda p: p["type_str"]).alias("_types"))
         own = own.join(typed, "entity_id", "left")
-        keys.append(F.when(F.size("_types") > 0, F.struct(F.lit(2).alias("rank"), signature(F.col("qualified_name"), F.col("_types")).alias("key"))))
+        keys.append(F.when(F.size("_types") > 0, F.struct(F.lit(3).alias("rank"), signature(F.col("qualified_name"), F.col("_types")).alias("key"))))
     place = F.struct(F.col("module"), kinds[F.col("kind")].alias("k"), F.col("ord"), F.col("_k.rank").alias("r"), F.col("entity_id"))
     return own.withColumn("_k", F.explode(F.array_compact(F.array(*keys)))).select(F.col("_k.key").alias("lookup_key"), "kind", F.col("module").alias("source_file"), F.col("qualified_name").alias("name"), F.col("entity_id"), place.alias("place"))
 
@@ -30,7 +36,7 @@ def candidates(entities: DataFrame, params: DataFrame | None = None) -> DataFram
 def symbol_table(entities: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """One row for each key: the first registration wins.
 
-    A declaration whose full name is taken adds no short name, so the fold is resolved in two steps: first the full
+    A declaration whose full name is taken adds no short and no unique name, so the fold is resolved in two steps: first the full
     names, then the other keys of those that got theirs, where a full name beats a short one that comes later only.
     Both are aggregations with partial results; no group is ever collected."""
     from marginalia.functions.exprs import anchor
@@ -38,7 +44,7 @@ def symbol_table(entities: DataFrame, params: DataFrame | None = None) -> DataFr
     cand = candidates(entities, params)
     full = cand.where(F.col("place.r") == 0).groupBy("lookup_key").agg(F.min_by("entity_id", "place").alias("entity_id"))
     owners = full.select("entity_id").distinct()
-    usable = cand.where(F.col("place.r") == 0).unionByName(cand.where(F.col("place.r") == 1).join(owners, "entity_id", "left_semi")).unionByName(cand.where(F.col("place.r") == 2))
+    usable = cand.where(F.col("place.r") == 0).unionByName(cand.where(F.col("place.r").isin(1, 2)).join(owners, "entity_id", "left_semi")).unionByName(cand.where(F.col("place.r") == 3))
     first = usable.groupBy("lookup_key").agg(F.min_by(F.struct("kind", "source_file", "name", "entity_id"), "place").alias("_w"))
     return first.select("lookup_key", F.col("_w.kind").alias("kind"), F.col("_w.source_file").alias("source_file"), anchor(F.col("_w.name")).alias("anchor"), F.col("_w.name").alias("name"))
 

@@ -117,6 +117,16 @@ def exit_status(spark, d):
     return lint.exit_status(_issues(spark, d), coverage.by_kind(entities(spark, d)), strict=True, min_coverage=80)
 
 
+@query(_LINT + f""", c AS (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM issues),
+p AS (SELECT count(*) FILTER ({_HAS_DOCS}) * 100.0 / count(*) AS percentage FROM ents WHERE {_COUNTED})
+SELECT least_allowed, errors, warnings, CASE WHEN errors > 0 THEN 1 WHEN percentage < least_allowed THEN 2 ELSE 0 END AS exit_status FROM c, p, (VALUES (1), (60), (100)) v(least_allowed)""")
+def exit_status_by_coverage(spark, d):
+    """Without strictness the coverage decides, against several least values."""
+    found, covered = _issues(spark, d), coverage.by_kind(entities(spark, d))
+    one = lambda n: lint.exit_status(found, covered, min_coverage=n).select(F.lit(n).alias("least_allowed"), "errors", "warnings", "exit_status")
+    return one(1).unionByName(one(60)).unionByName(one(100))
+
+
 @query(f"""{WITH} SELECT qualified_name, kind, count(*) AS times FROM ents GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_names(spark, d):
     """Overloads and homonyms."""
@@ -156,23 +166,12 @@ def did_you_mean(spark, d):
     return symbols.similar(asked.join(names, F.col("query") == F.col("name"), "left_anti"), names)
 
 
-@query(f"""{WITH} SELECT lookup_key, translate(lookup_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_ ', 'abcdefghijklmnopqrstuvwxyz--') AS anchor_of, translate(lookup_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS index_anchor,
-string_split(lookup_key, '::')[-1] AS short, regexp_matches(lookup_key, '^[A-Za-z0-9_-]+$') AS anchor_id, string_split(source_file, '/')[-1] AS base, regexp_replace(string_split(source_file, '/')[-1], '\\.(h|hpp)$', '') AS title,
-CASE WHEN instr(lookup_key, '_') >= 3 THEN split_part(lookup_key, '_', 1) ELSE 'misc' END AS prefix FROM syms WHERE NOT contains(lookup_key, '(')""")
-def symbol_names(spark, d):
-    """Keys without parameters only, as its SQL has it; ``symbol_names_whole`` has all."""
-    k, s = F.col("lookup_key"), F.col("source_file")
-    return live(spark, d).where(~F.contains(k, F.lit("("))).select(
-        k, exprs.anchor(k).alias("anchor_of"), exprs.index_anchor(k).alias("index_anchor"), exprs.short_name(k).alias("short"), exprs.is_anchor_id(k).alias("anchor_id"), exprs.basename(s).alias("base"), exprs.header_title(s).alias("title"), exprs.prefix_group(k).alias("prefix")
-    )
-
-
 @query(f"""{WITH} SELECT lookup_key, translate(lookup_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_ ', 'abcdefghijklmnopqrstuvwxyz--') AS anchor_of, translate(lookup_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS index_anchor,
 CASE WHEN contains(lookup_key, '(') THEN array_to_string(list_concat([string_split(split_part(lookup_key, '(', 1), '::')[-1]], string_split(lookup_key, '(')[2:]), '(') ELSE string_split(lookup_key, '::')[-1] END AS short,
 regexp_matches(lookup_key, '^[A-Za-z0-9_-]+$') AS anchor_id, string_split(source_file, '/')[-1] AS base, regexp_replace(string_split(source_file, '/')[-1], '\\.(h|hpp)$', '') AS title,
 CASE WHEN instr(lookup_key, '_') >= 3 THEN split_part(lookup_key, '_', 1) ELSE 'misc' END AS prefix FROM syms""")
-def symbol_names_whole(spark, d):
-    """As ``symbol_names``, of all keys, signatures too; ``short`` is cut before the parameters, as these may hold ``::`` themselves."""
+def symbol_names(spark, d):
+    """Forms of all keys, signatures too; ``short`` is cut before the parameters, as these may hold ``::`` themselves."""
     k, s = F.col("lookup_key"), F.col("source_file")
     return live(spark, d).select(
         k, exprs.anchor(k).alias("anchor_of"), exprs.index_anchor(k).alias("index_anchor"), exprs.short_key(k).alias("short"), exprs.is_anchor_id(k).alias("anchor_id"), exprs.basename(s).alias("base"), exprs.header_title(s).alias("title"), exprs.prefix_group(k).alias("prefix")
@@ -267,17 +266,9 @@ l AS (SELECT *, upper(substr(name, 1, 1)) AS letter FROM i)
 """
 
 
-@query(_INDEX + "SELECT entity_id, module, kind, name, qualified_name, CASE WHEN coalesce(odd, false) THEN '-' ELSE brief END AS brief, anchor, letter, row_number() OVER (PARTITION BY letter ORDER BY qualified_name, entity_id) = 1 AS new_letter FROM l")
-def symbol_index(spark, d):
-    """With ``-`` for briefs that aren't ASCII, as its SQL has it; ``symbol_index_whole`` has all briefs."""
-    rows = grouping.index_ordered(grouping.index(entities(spark, d)))
-    brief = entities(spark, d).select("entity_id", (F.octet_length("doc.brief") != F.length("doc.brief")).alias("_odd"))
-    return rows.join(brief, "entity_id").withColumn("brief", F.when(F.coalesce("_odd", F.lit(False)), F.lit("-")).otherwise(F.col("brief"))).drop("_odd")
-
-
 @query(_INDEX + """SELECT i.entity_id, l.module, l.kind, l.name, l.qualified_name, CASE WHEN strlen(doc.brief) > 60 THEN substr(doc.brief, 1, list_max(list_filter(range(0, 61), lambda n: strlen(substr(doc.brief, 1, n)) <= 60))) || '...' ELSE doc.brief END AS brief,
 l.anchor, letter, row_number() OVER (PARTITION BY letter ORDER BY l.qualified_name, i.entity_id) = 1 AS new_letter FROM l JOIN ents i ON l.entity_id = i.entity_id""")
-def symbol_index_whole(spark, d):
+def symbol_index(spark, d):
     """The index with every brief, cut at 60 bytes on a character's edge."""
     return grouping.index_ordered(grouping.index(entities(spark, d)))
 
@@ -323,20 +314,6 @@ def include_nodes(spark, d):
     return graph.include_nodes(graph.include_edges(extract.includes(sources(spark, d))))
 
 
-# Files include one another by basename; every file of that name counts.
-_NEEDS = _INCLUDES + """, needs AS (SELECT DISTINCT i.module AS path, f.path AS needs FROM inc i JOIN files f ON string_split(i.path, '/')[-1] = string_split(f.path, '/')[-1] WHERE NOT is_system AND i.module <> f.path)
-"""
-
-
-def _needs(spark, d):
-    return manifest.dependencies(extract.includes(sources(spark, d)), sources(spark, d).select("path"))
-
-
-@query(_NEEDS.replace("WITH", "WITH RECURSIVE", 1) + ", up AS (SELECT needs AS start, path AS reached FROM needs UNION SELECT start, n.path FROM up JOIN needs n ON n.needs = reached) SELECT start, reached FROM up")
-def dependents(spark, d):
-    return graph.dependents(_needs(spark, d).select(F.col("path").alias("src"), F.col("needs").alias("dst"))).select("start", "reached")
-
-
 @query(f"""{WITH}, c AS (SELECT DISTINCT qualified_name AS name FROM ents WHERE kind = 'class'), e AS (SELECT DISTINCT m.qualified_name AS child, p.qualified_name AS parent FROM ents m JOIN ents p ON m.parent_id = p.entity_id)
 SELECT name FROM c WHERE name NOT IN (SELECT child FROM e)""")
 def class_roots(spark, d):
@@ -353,7 +330,7 @@ def nesting(spark, d):
 
 _CHANGES = """
 WITH old AS (SELECT doc_id::varchar AS path, sha256(text) AS hash, n_chars AS mtime, strlen(text) AS size FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0),
-new AS (SELECT doc_id::varchar AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS hash, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS mtime, strlen(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS size FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0),
+new AS (SELECT doc_id::varchar AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS hash, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS mtime, strlen(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS size FROM documents WHERE text IS NOT NULL AND (doc_id % 11 <> 0 OR doc_id % 7 = 0)),
 st AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new_file' WHEN n.path IS NULL THEN 'deleted' WHEN (o.mtime = n.mtime AND o.size = n.size) OR o.hash = n.hash THEN 'unchanged' ELSE 'modified' END AS status FROM old o FULL JOIN new n ON o.path = n.path)
 """
 
@@ -364,7 +341,7 @@ def _changes(spark, d):
     at = F.col("doc_id")
     old = manifest.manifest(docs.where(at % 7 != 0).select(at.cast("string").alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("mtime")))
     text = F.when(at % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = manifest.manifest(docs.where(at % 11 != 0).select(at.cast("string").alias("path"), text.alias("content"), F.when(at % 3 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("mtime")))
+    new = manifest.manifest(docs.where((at % 11 != 0) | (at % 7 == 0)).select(at.cast("string").alias("path"), text.alias("content"), F.when(at % 3 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("mtime")))
     return manifest.changes(old, new)
 
 
@@ -373,20 +350,6 @@ def change_status(spark, d):
     return _changes(spark, d)
 
 
-@query(_NEEDS.replace("WITH", "WITH RECURSIVE", 1) + """, st AS (SELECT path, CASE WHEN ord % 10 = 0 THEN 'modified' WHEN ord % 10 = 1 THEN 'deleted' ELSE 'unchanged' END AS status FROM files),
-up AS (SELECT path FROM st WHERE status <> 'unchanged' UNION SELECT n.path FROM up JOIN needs n ON n.needs = up.path) SELECT DISTINCT up.path FROM up JOIN st ON st.path = up.path WHERE st.status <> 'deleted'""")
-def rebuild_set(spark, d):
-    status = sources(spark, d).select("path", F.when(F.col("ord") % 10 == 0, "modified").when(F.col("ord") % 10 == 1, "deleted").otherwise("unchanged").alias("status"))
-    return manifest.rebuild_set(status, _needs(spark, d))
-
-
-@query(_NEEDS + """, st AS (SELECT path, CASE WHEN ord % 10 = 0 THEN 'modified' WHEN ord % 10 = 1 THEN 'deleted' ELSE 'unchanged' END AS status FROM files)
-SELECT path, CASE WHEN status = 'unchanged' AND path IN (SELECT n.path FROM needs n JOIN st s ON s.path = n.needs WHERE s.status <> 'unchanged') THEN 'modified' ELSE status END AS status FROM st""")
-def dependency_status(spark, d):
-    status = sources(spark, d).select("path", F.when(F.col("ord") % 10 == 0, "modified").when(F.col("ord") % 10 == 1, "deleted").otherwise("unchanged").alias("status"))
-    return manifest.with_dependencies(status, _needs(spark, d))
-
-
 def _calls(spark, d):
     return testcov.calls(testcov.uses(sources(spark, d)), live(spark, d))
 
@@ -409,10 +372,13 @@ def call_counts(spark, d):
     return _calls(spark, d)
 
 
-@query(_USES + """, f AS (SELECT name, min(kind) AS kind FROM syms WHERE kind IN ('function', 'class_type', 'struct_type') GROUP BY 1)
+@query(_USES + """, ends AS (SELECT DISTINCT e FROM (SELECT unnest([array_to_string(string_split(lookup_key, '::')[i:], '::') FOR i IN range(2, len(string_split(lookup_key, '::')) + 1)]) AS e FROM syms)),
+own AS (SELECT * FROM syms WHERE contains(lookup_key, '::') OR lookup_key NOT IN (SELECT e FROM ends)),
+f AS (SELECT name, min(kind) AS kind FROM own WHERE kind IN ('function', 'class_type', 'struct_type') GROUP BY 1)
 SELECT f.kind, count(*) AS total, count(symbol) AS tested, round(count(symbol) * 100.0 / count(*), 6)::double AS percentage FROM f LEFT JOIN calls ON symbol = name GROUP BY ROLLUP (f.kind)""")
 def test_stats(spark, d):
-    own = live(spark, d).where("kind in ('function', 'class_type', 'struct_type')").groupBy("name").agg(F.min("kind").alias("kind"))
+    """Of canonical symbols: a short key that another key ends with doesn't count."""
+    own = testcov.canonical(live(spark, d)).where("kind in ('function', 'class_type', 'struct_type')").groupBy("name").agg(F.min("kind").alias("kind"))
     return testcov.stats(own, _calls(spark, d))
 
 
@@ -525,22 +491,34 @@ def missing_items_sources(spark, d):
     return coverage.missing_items(extract.entities(p), extract.params(p), extract.doc_params(p), extract.tparams(p), extract.doc_tparams(p))
 
 
-@query()
+@query(rf"""{WITH}, t AS (SELECT DISTINCT return_type AS type_str FROM ents WHERE return_type IS NOT NULL UNION SELECT DISTINCT 'const ' || target || ' *' FROM doc_refs WHERE target IS NOT NULL UNION SELECT DISTINCT 'std::vector<' || target || '> &' FROM doc_refs WHERE target IS NOT NULL),
+b AS (SELECT type_str, trim(regexp_replace(split_part(regexp_replace(regexp_replace(type_str, '\b(const|volatile|struct|enum|union|class)\b', '', 'g'), '[*&].*$', ''), '<', 1), '\s+', ' ', 'g'), ' ') AS base_type FROM t)
+SELECT type_str, base_type, coalesce('../' || CASE WHEN kind IN ('function', 'method') THEN 'functions' WHEN kind = 'macro' THEN 'macros' ELSE 'types' END || '/' || regexp_replace(string_split(source_file, '/')[-1], '^(.+)\.[^.]*$', '\1') || '.md#'
+  || translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_ ', 'abcdefghijklmnopqrstuvwxyz--'), CASE WHEN starts_with(base_type, 'std::') THEN 'https://en.cppreference.com/w/cpp/' || substr(base_type, 6) END) AS link FROM b LEFT JOIN syms ON base_type = lookup_key""")
 def type_links(spark, d):
-    p = _parsed(spark, d)
-    return links.type_links(extract.params(p).select("type_str").distinct(), live(spark, d))
+    """The links of all return types, and of types made of all reference targets."""
+    own = entities(spark, d).where("return_type is not null").select(F.col("return_type").alias("type_str"))
+    target = table(spark, d, "doc_refs").where("target is not null").select("target")
+    made = target.select(F.concat(F.lit("const "), "target", F.lit(" *")).alias("type_str")).union(target.select(F.concat(F.lit("std::vector<"), "target", F.lit("> &"))))
+    return links.type_links(own.union(made).distinct(), live(spark, d))
 
 
-@query()
+@query(r"""WITH t AS (SELECT DISTINCT module || '/' || id AS text_id, '@brief ' || trim(regexp_replace(content, '\s+', ' ', 'g')) AS x FROM pages WHERE content IS NOT NULL),
+r AS (SELECT text_id, regexp_extract_all(x, '[@\\]ref[ \t]+[^\s,.\];]+') AS rs FROM t)
+SELECT text_id, (n - 1)::int AS pos, regexp_replace(rs[n], '^.ref[ \t]+', '') AS target, 'symbol' AS kind FROM (SELECT *, unnest(range(1, len(rs) + 1)) AS n FROM r)""")
 def inline_refs(spark, d):
-    from marginalia.functions.doccomment import parse_doc
-
-    text = F.regexp_replace("doc.raw", r"(?m)^\s*(/\*\*|/\*!|\*/|\*|///|//!)\s?", "")
-    docs = entities(spark, d).where("doc is not null").select("entity_id", parse_doc(text).alias("d"))
-    return docs.select("entity_id", F.posexplode("d.refs").alias("pos", "r")).select("entity_id", "pos", "r.*")
-
-
-@query()
+    """The inline references of the pages, read as documentation of one line."""
+    text = F.concat(F.lit("@brief "), F.trim(F.regexp_replace("content", r"\s+", " ")))
+    docs = table(spark, d, "pages").where("content is not null").select(F.concat_ws("/", "module", "id").alias("text_id"), text.alias("_x")).distinct().select("text_id", doccomment.parse_doc(F.col("_x")).alias("d"))
+    return docs.select("text_id", F.posexplode("d.refs").alias("pos", "r")).select("text_id", "pos", "r.target", "r.kind")
+
+
+@query(rf"""{WITH}, t AS (SELECT DISTINCT module || '/' || id AS text_id, content FROM pages),
+m AS (SELECT text_id, string_split(regexp_replace(content, '[@\\]ref\s+([^\s,;\]"]*[^\s,.;\]"])(?:\s+"([^"]*)")?', chr(1) || '\1' || chr(2) || '\2' || chr(1), 'g'), chr(1)) AS ps FROM t),
+p AS (SELECT text_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM m),
+q AS (SELECT text_id, n, p, CASE WHEN n % 2 = 0 THEN split_part(p, chr(2), 1) END AS target, split_part(p, chr(2), 2) AS told FROM p)
+SELECT text_id, string_agg(CASE WHEN target IS NULL THEN p WHEN anchor IS NOT NULL THEN '[' || coalesce(nullif(told, ''), target) || '](#' || anchor || ')' ELSE chr(96) || coalesce(nullif(told, ''), target) || chr(96) END, '' ORDER BY n) AS text
+FROM q LEFT JOIN syms ON target = lookup_key GROUP BY 1""")
 def page_links(spark, d):
     """Pages with their references as links."""
     pages = table(spark, d, "pages").select(F.concat_ws("/", "module", "id").alias("text_id"), F.col("content").alias("text")).distinct()
@@ -603,11 +581,24 @@ def sarif_export(spark, d):
     return sarif.module_documents(_parsed(spark, d))
 
 
-@query()
+_RESULT = """to_json(struct_pack(ruleId := code, level := CASE WHEN severity = 'info' THEN 'note' ELSE severity END, message := struct_pack("text" := message || ' (in ' || entity_type || ' ' || chr(39) || entity_name || chr(39) || ')'),
+locations := [struct_pack(physicalLocation := struct_pack(artifactLocation := struct_pack(uri := replace(file, chr(92), '/')), region := struct_pack(startLine := line)))]))"""
+_RESULT = f"""CASE WHEN line > 0 THEN {_RESULT} ELSE {_RESULT.replace(", region := struct_pack(startLine := line)", "")} END::varchar"""
+
+
+@query(_LINT + f"SELECT file, line, code, {_RESULT} AS result FROM issues")
 def sarif_results(spark, d):
     return sarif.results(_issues(spark, d))
 
 
+@query(_LINT + f""", r AS (SELECT file, line, code, {_RESULT} AS result FROM issues),
+u AS (SELECT file, code, to_json(struct_pack(id := code, defaultConfiguration := struct_pack(level := min(CASE WHEN severity = 'info' THEN 'note' ELSE severity END))))::varchar AS j FROM issues GROUP BY file, code)
+SELECT file, '{{"$schema":"{sarif.SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{sarif.TOOL}","version":"{sarif.TOOL_VERSION}","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS body
+FROM (SELECT file, string_agg(j, ',' ORDER BY code) AS rules FROM u GROUP BY 1) JOIN (SELECT file, string_agg(result, ',' ORDER BY line, code, result) AS results FROM r GROUP BY 1) USING (file)""")
+def lint_documents(spark, d):
+    return sarif.lint_documents(_issues(spark, d))
+
+
 @query(_LINT + "SELECT code, arg_min(severity, struct_pack(f := file, l := line, m := message)) AS severity FROM issues GROUP BY 1")
 def sarif_rules(spark, d):
     return sarif.rules(_issues(spark, d))
@@ -618,9 +609,11 @@ def module_pages(spark, d):
     return render.module_pages(_parsed(spark, d))
 
 
-@query()
+@query(_INDEX + """, b AS (SELECT l.*, CASE WHEN strlen(doc.brief) > 60 THEN substr(doc.brief, 1, list_max(list_filter(range(0, 61), lambda n: strlen(substr(doc.brief, 1, n)) <= 60))) || '...' ELSE doc.brief END AS shown FROM l JOIN ents i ON l.entity_id = i.entity_id),
+s AS (SELECT letter, regexp_replace(string_split(module, '/')[-1], '^(.+)\\.[^.]*$', '\\1') AS stem, string_agg('- [' || chr(96) || qualified_name || chr(96) || '](#' || anchor || ')' || coalesce(' — ' || shown, '') || chr(10), '' ORDER BY qualified_name, entity_id) AS md FROM b GROUP BY ALL)
+SELECT 'INDEX/' || letter || '/' || stem || '.md' AS path, '## ' || letter || chr(10) || chr(10) || md AS content FROM s""")
 def index_pages(spark, d):
-    return render.index_page(extract.entities(_parsed(spark, d)))
+    return render.index_page(entities(spark, d))
 
 
 @query(_INCLUDES + """SELECT 'INCLUDES/' || regexp_replace(string_split(module, '/')[-1], '\\.[^.]*$', '') || '.md' AS path, '# Includes of ' || module || chr(10) || chr(10) ||

@@ -88,3 +88,15 @@ def results(issues: DataFrame) -> DataFrame:
     place = F.array(F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     return issues.select("file", "line", "code", F.to_json(F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(text.alias("text")).alias("message"), place.alias("locations"))).alias("result"))
 
+
+def lint_documents(issues: DataFrame) -> DataFrame:
+    """A whole SARIF document for each file with issues: file, body. Its rules are the codes found in the file, in their order.
+
+    Issues are collected by file, never by project."""
+    level = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
+    rows = results(issues).select("file", "line", "code", "result")
+    body = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code", "result"))), lambda x: x["result"]), ",").alias("_r"))
+    rule = F.to_json(F.struct(F.col("code").alias("id"), F.struct(F.col("_l").alias("level")).alias("defaultConfiguration")))
+    ruled = issues.groupBy("file", "code").agg(F.min(level).alias("_l")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", rule.alias("j")))), lambda x: x["j"]), ",").alias("_rules"))
+    head = f'{{"$schema":"{SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","version":"{TOOL_VERSION}","rules":['
+    return body.join(ruled, "file").select("file", F.concat(F.lit(head), F.col("_rules"), F.lit(']}},"results":['), F.col("_r"), F.lit("]}]}")).alias("body"))

@@ -42,7 +42,7 @@ def test_names_of_signatures(spark, tmp_path):
 
     keys = ["n::Box::put_all(std::string, const n::Box&)", "f(std::map<a::B, int>*)", "n::Box::operator()(a::B)", "n::put", "put"]
     spark.createDataFrame([(k, "function", "a/b.hpp", "", k) for k in keys], "lookup_key string, kind string, source_file string, anchor string, name string").selectExpr("*", "timestamp'2024-01-01' AS added_at").write.parquet(f"{tmp_path}/symbols.parquet")
-    rows = {r["lookup_key"]: r for r in reference.QUERIES["symbol_names_whole"](spark, str(tmp_path)).collect()}
+    rows = {r["lookup_key"]: r for r in reference.QUERIES["symbol_names"](spark, str(tmp_path)).collect()}
     assert [rows[k]["short"] for k in keys] == ["put_all(std::string, const n::Box&)", "f(std::map<a::B, int>*)", "operator()(a::B)", "put", "put"]
     assert rows[keys[0]]["anchor_of"] == "n::box::put-all(std::string,-const-n::box&)" and not rows[keys[0]]["anchor_id"] and rows[keys[3]]["title"] == "b"
 
@@ -54,5 +54,5 @@ def test_index_keeps_briefs_that_are_not_ascii(spark, tmp_path):
     want = ["é short", "a" * 59 + "...", "a" * 58 + "é...", "a" * 57 + "\ufffd...", "\U0001f680" * 15 + "...", "a" * 60 + "...", None]
     rows = [(n, "function", None, "a.h", f"n::f{n}", (b,), None) for n, b in enumerate(briefs)]
     spark.createDataFrame(rows, "entity_id int, kind string, access string, module string, qualified_name string, doc struct<brief: string>, ingested_at timestamp").write.parquet(f"{tmp_path}/entities.parquet")
-    got = {r["entity_id"]: r["brief"] for r in reference.QUERIES["symbol_index_whole"](spark, str(tmp_path)).collect()}
+    got = {r["entity_id"]: r["brief"] for r in reference.QUERIES["symbol_index"](spark, str(tmp_path)).collect()}
     assert [got[n] for n in range(len(briefs))] == want
