@@ -78,7 +78,7 @@ def first_parent_root(edges: DataFrame) -> DataFrame:
         steps *= 2
         if moved.where("_m").isEmpty():
             return moved.select("child", F.col("up").alias("root"))
-        if steps > nodes:  # whoever still moves goes round in a cycle
+        if steps > 2 * nodes:  # a pointer was longer than any chain: whoever still moves goes round in a cycle
             return moved.select("child", F.when(~F.col("_m"), F.col("up")).alias("root"))
         jump = moved.drop("_m")
 

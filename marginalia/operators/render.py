@@ -40,8 +40,9 @@ def attribute_list(attributes: Column) -> Column:
 
 def synopsis() -> Column:
     """The declaration as it is shown; ``@synopsis`` wins."""
-    args = F.array_join(F.transform("params", lambda p: F.concat(p["type_str"], F.when(p["name"] != "", F.concat(F.lit(" "), p["name"])).otherwise(F.lit("")))), ", ")
-    shown = F.when(F.col("kind").isin("function", "method"), F.concat(F.coalesce(F.concat("return_type", F.lit(" ")), F.lit("")), F.col("name"), F.lit("("), args, F.lit(")")))
+    beside = lambda t: F.when(t.rlike("[*&]$"), t).otherwise(F.concat(t, F.lit(" ")))
+    args = F.array_join(F.transform("params", lambda p: F.when(p["name"] != "", F.concat(beside(p["type_str"]), p["name"])).otherwise(p["type_str"])), ", ")
+    shown = F.when(F.col("kind").isin("function", "method"), F.concat(F.coalesce(beside(F.col("return_type")), F.lit("")), F.col("name"), F.lit("("), args, F.lit(")")))
     shown = shown.when(F.col("kind") == "macro", F.concat(F.lit("#define "), F.col("name"), F.when(F.size("params") > 0, F.concat(F.lit("("), F.array_join(F.transform("params", lambda p: p["name"]), ", "), F.lit(")"))).otherwise(F.lit("")), F.coalesce(F.concat(F.lit(" "), "body"), F.lit(""))))
     shown = shown.when(F.col("kind") == "typedef", F.concat(F.lit("typedef "), F.coalesce("underlying", F.lit("")), F.lit(" "), F.col("name")))
     shown = shown.when(F.col("kind") == "type_alias", F.concat(F.lit("using "), F.col("name"), F.lit(" = "), F.coalesce("underlying", F.lit(""))))
@@ -61,7 +62,8 @@ def hidden(names: list[str], patterns: list[str] | None = None) -> Column:
 def doc_text() -> Column:
     """The text of a declaration's documentation."""
     d = F.col("doc")
-    table = F.when(F.size(d["params"]) > 0, F.concat(F.lit("**Parameters**\n\n| Name | Description |\n|---|---|\n"), F.array_join(F.transform(d["params"], lambda p: F.concat(F.lit("| `"), p["name"], F.lit("` | "), F.replace(p["description"], F.lit("|"), F.lit("\\|")), F.lit(" |"))), "\n"), F.lit("\n\n"))).otherwise(F.lit(""))
+    typed = F.map_from_entries(F.transform(F.array_distinct(F.transform("params", lambda p: p["name"])), lambda n: F.struct(n.alias("key"), F.filter("params", lambda p: p["name"] == n)[0]["type_str"].alias("value"))))
+    table = F.when(F.size(d["params"]) > 0, F.concat(F.lit("**Parameters**\n\n| Name | Type | Description |\n|---|---|---|\n"), F.array_join(F.transform(d["params"], lambda p: F.concat(F.lit("| `"), p["name"], F.lit("` | "), F.coalesce(F.concat(F.lit("`"), F.replace(typed[p["name"]], F.lit("|"), F.lit("\\|")), F.lit("`")), F.lit("")), F.lit(" | "), F.replace(p["description"], F.lit("|"), F.lit("\\|")), F.lit(" |"))), "\n"), F.lit("\n\n"))).otherwise(F.lit(""))
     bullet = lambda x: F.concat(F.lit("- "), x)
     return F.concat(
         _present(d["deprecated"], "> **Deprecated:** ", d["deprecated"], "\n\n"), _present(d["brief"], html_escape(d["brief"]), "\n\n"), _present(d["details"], html_escape(d["details"]), "\n\n"), table,
@@ -75,13 +77,31 @@ def doc_text() -> Column:
     )
 
 
+def _members(parsed: DataFrame) -> DataFrame:
+    """entity_id and ``_fields``: the visible members of classes, structs and unions as a list."""
+    own = parsed.where((F.col("kind") == "field") & (F.coalesce(F.col("access"), F.lit("public")) != "private"))
+    line = F.concat(F.lit("- `"), F.coalesce(F.concat("underlying", F.lit(" ")), F.lit("")), "name", F.lit("`"), F.coalesce(F.concat(F.lit(" — "), "doc.brief"), F.lit("")), F.lit("\n"))
+    return own.groupBy(F.col("parent_id").alias("entity_id")).agg(F.concat(F.lit("**Members**\n\n"), _joined(F.struct("ord", line.alias("md"))), F.lit("\n")).alias("_fields"))
+
+
+def _derived(parsed: DataFrame) -> DataFrame:
+    """entity_id and ``_derived``: the lines of a class's diagram for the classes that have it as a base, matched by simple name within the project."""
+    classes = parsed.where("kind in ('class', 'struct')")
+    below = classes.select(F.col("name").alias("_child"), F.explode("bases").alias("_b")).select("_child", class_simple_name(F.col("_b.name")).alias("_k")).distinct()
+    hit = classes.select("entity_id", "name", class_simple_name(F.col("name")).alias("_k")).join(below, "_k")
+    line = F.concat(F.lit("    "), "name", F.lit(" <|-- "), "_child", F.lit("\n"))
+    return hit.groupBy("entity_id").agg(_joined(F.struct("_child", line.alias("md"))).alias("_derived"))
+
+
 def declaration_text(parsed: DataFrame, hide: list[str] = ("detail", "internal", "impl"), patterns: list[str] | None = None) -> DataFrame:
     """entity_id, parent_id, module, kind, ord and ``md`` of every declaration that is shown."""
     own = parsed.where(~F.col("kind").isin("include", "field", "variable", "friend") & ~hidden(list(hide), patterns) & (F.coalesce(F.col("access"), F.lit("public")) != "private"))
     level = F.when(F.col("kind") == "method", "#### ").otherwise("### ")
+    own = own.join(_members(parsed), "entity_id", "left").join(_derived(parsed), "entity_id", "left")
     values = F.when(F.col("kind") == "enum", _list(F.col("enum_values"), "Values", lambda v: F.concat(F.lit("- `"), v["name"], F.lit("`"), F.coalesce(F.concat(F.lit(" = "), v["text"]), F.lit(""))))).otherwise(F.lit(""))
-    bases = F.when(F.size("bases") > 0, F.concat(F.lit("```mermaid\nclassDiagram\n"), F.array_join(F.transform("bases", lambda b: F.concat(F.lit("    "), class_simple_name(b["name"]), F.lit(" <|-- "), F.col("name"))), "\n"), F.lit("\n```\n\n"))).otherwise(F.lit(""))
-    text = F.concat(level, F.col("name"), F.lit(" {#"), anchor(F.col("qualified_name")), F.lit("}\n\n```cpp\n"), synopsis(), F.lit("\n```\n\n"), bases, F.coalesce(doc_text(), F.lit("")), values)
+    above = F.array_join(F.transform("bases", lambda b: F.concat(F.lit("    "), class_simple_name(b["name"]), F.lit(" <|-- "), F.col("name"), F.lit("\n"))), "")
+    bases = F.when((F.size("bases") > 0) | F.col("_derived").isNotNull(), F.concat(F.lit("```mermaid\nclassDiagram\n"), above, F.coalesce("_derived", F.lit("")), F.lit("```\n\n"))).otherwise(F.lit(""))
+    text = F.concat(level, F.col("name"), F.lit(" {#"), anchor(F.col("qualified_name")), F.lit("}\n\n```cpp\n"), synopsis(), F.lit("\n```\n\n"), bases, F.coalesce(doc_text(), F.lit("")), values, F.coalesce("_fields", F.lit("")))
     return own.select("entity_id", "parent_id", "module", "kind", "name", "qualified_name", "ord", "doc", text.alias("md"))
 
 
@@ -89,9 +109,49 @@ def _joined(order: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["md"]), "")
 
 
+def group_text(parsed: DataFrame) -> DataFrame:
+    """The compact form of groups of functions: entity_id of the first function, and ``_group``, its heading with the synopses of all and the documentation of the first."""
+    own = parsed.where("kind = 'function' and doc.group_name is not null").select("entity_id", "module", "ord", F.col("doc.group_name").alias("_g"), F.col("doc.group_heading").alias("_h"), synopsis().alias("_s"), doc_text().alias("_d"))
+    by = own.groupBy("module", "_g").agg(
+        F.min_by("entity_id", "ord").alias("entity_id"), F.min_by("_d", "ord").alias("_d"), F.min_by("_h", F.when(F.col("_h").isNotNull(), F.col("ord"))).alias("_h"), _joined(F.struct("ord", F.concat("_s", F.lit("\n")).alias("md"))).alias("_all"),
+    )
+    return by.select("entity_id", F.concat(F.lit("### "), F.coalesce("_h", "_g"), F.lit("\n\n```cpp\n"), F.col("_all"), F.lit("```\n\n"), F.coalesce("_d", F.lit(""))).alias("_group"))
+
+
+def grouped_text(parsed: DataFrame, **options) -> DataFrame:
+    """``declaration_text`` with each group of functions in its compact form, at the place of its first function."""
+    texts = declaration_text(parsed, **options)
+    member = (F.col("kind") == "function") & F.col("doc.group_name").isNotNull()
+    put = texts.where(member).join(group_text(parsed), "entity_id").withColumn("md", F.col("_group")).drop("_group")
+    return texts.where(~F.coalesce(member, F.lit(False))).unionByName(put)
+
+
+def with_links(pages: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Pages (path, content) with the inline references of their texts as links."""
+    from marginalia.operators.links import rewrite
+
+    return rewrite(pages.select(F.col("path").alias("text_id"), F.col("content").alias("text")), symbols).select(F.col("text_id").alias("path"), F.col("text").alias("content"))
+
+
+def readme(parsed: DataFrame, title: str = "API Reference") -> DataFrame:
+    """One page with a line for each folder of modules: how many files and declarations it holds."""
+    folder = F.when(F.contains("module", F.lit("/")), F.regexp_replace("module", "/[^/]*$", "")).otherwise(F.lit("."))
+    by = parsed.where(F.col("kind").isin(*HEADINGS)).groupBy(folder.alias("folder")).agg(F.countDistinct("module").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    line = F.concat(F.lit("- "), "folder", F.lit(": "), F.col("_n").cast("string"), F.lit(" declarations in "), F.col("_m").cast("string"), F.lit(" files\n"))
+    return by.agg(_joined(F.struct("folder", line.alias("md"))).alias("_md")).select(F.lit("README.md").alias("path"), F.concat(F.lit(f"# {title}\n\n"), F.coalesce("_md", F.lit(""))).alias("content"))
+
+
+def module_summary(parsed: DataFrame) -> DataFrame:
+    """path and content of a page for each file that lists its declarations with their briefs."""
+    own = parsed.where(F.col("kind").isin(*HEADINGS))
+    line = F.concat(F.lit("- "), "kind", F.lit(" [`"), "name", F.lit("`](#"), anchor(F.col("qualified_name")), F.lit(")"), F.coalesce(F.concat(F.lit(" — "), "doc.brief"), F.lit("")), F.lit("\n"))
+    by = own.groupBy("module").agg(_joined(F.struct("ord", line.alias("md"))).alias("_md"))
+    return by.select(F.concat(F.lit("SUMMARY/"), F.replace(F.regexp_replace("module", r"\.[^./]*$", ""), F.lit("/"), F.lit("_")), F.lit(".md")).alias("path"), F.concat(F.lit("# "), header_title(F.col("module")), F.lit("\n\n"), F.col("_md")).alias("content"))
+
+
 def module_pages(parsed: DataFrame, **options) -> DataFrame:
     """path and content of a page for each file: sections in their order, methods below their class."""
-    texts = declaration_text(parsed, **options)
+    texts = grouped_text(parsed, **options)
     below = texts.where("kind = 'method'").groupBy(F.col("parent_id").alias("entity_id")).agg(_joined(F.struct("ord", "md")).alias("_below"))
     top = texts.where("kind != 'method'").join(below, "entity_id", "left").select("module", "kind", "ord", F.concat("md", F.coalesce("_below", F.lit(""))).alias("md"))
     rank = F.create_map(*[F.lit(x) for kv in grouping.SECTIONS.items() for x in kv])[F.col("kind")]

@@ -124,6 +124,8 @@ def test_graph(spark):
     assert graph.closure(e.limit(0)).count() == 0
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0) for i in range(40)] + [("n3", "other", 1)], "child string, parent string, pos int")
     assert {r["root"] for r in graph.first_parent_root(chain).collect()} == {"n40"}
+    long = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0) for i in range(200)] + [("a", "b", 0), ("b", "c", 0), ("c", "b", 0)], "child string, parent string, pos int")
+    assert {r["child"]: r["root"] for r in graph.first_parent_root(long).collect()} == {f"n{i}": "n200" for i in range(200)} | dict.fromkeys("abc")
     nodes = spark.createDataFrame([("n::Shape", True), ("Circle", False)], "name string, is_abstract boolean")
     edges = graph.match_bases(nodes, spark.createDataFrame([("Circle", "Shape<int>", 0), ("Circle", "ext::Far", 1)], "child string, base string, pos int"))
     assert {(r["child"], r["parent"]) for r in edges.collect()} == {("Circle", "n::Shape"), ("Circle", "ext::Far")}
@@ -146,7 +148,7 @@ def test_manifest(spark):
     assert {r["path"] for r in manifest.changed(manifest.with_dependencies(status, edges)).collect()} == {"gone", "changed", "fresh", "same", "hidden"}
     assert {r["path"] for r in manifest.rebuild_set(status, edges).collect()} == {"changed", "fresh", "same", "touched", "hidden"}
     assert {r["path"] for r in manifest.needs_rebuild(old, new, spark.createDataFrame([("same",), ("changed",), ("hidden",), ("fresh",)], "path string")).collect()} == {"changed", "hidden", "fresh", "touched"}
-    inc = spark.createDataFrame([("same", "x/changed", False), ("same", "vector", True), ("same", "lost", False)], "module string, path string, is_system boolean")
+    inc = spark.createDataFrame([("same", "./x/../changed", False), ("same", "vector", True), ("same", "lost", False), ("same", "x/changed", False)], "module string, path string, is_system boolean")
     deps = manifest.dependencies(inc, new)
     assert [tuple(r) for r in deps.collect()] == [("same", "changed")] and manifest.upsert(edges, deps.select("path", "needs")).count() == 3
 
@@ -194,7 +196,7 @@ def test_grouping_and_pages(parsed, spark, tmp_path):
     assert {r["path"]: r["assigned"] for r in files.collect()} == {"a/x.h": "one", "b/y.h": "two", "z.c": None}
     pages = render.module_pages(parsed)
     page = pages.first()
-    assert page["path"] == "headers/a_x.md" and page["content"].index("## Functions") < page["content"].index("## Classes") and "int open_file(const char* name, int mode)" in page["content"] and "Shape <|-- Circle" in page["content"]
+    assert page["path"] == "headers/a_x.md" and page["content"].index("## Functions") < page["content"].index("## Classes") and "int open_file(const char *name, int mode)" in page["content"] and "Shape <|-- Circle" in page["content"]
     render.write_book(pages.unionByName(render.introduction(extract.entities(parsed))), str(tmp_path))
     assert (tmp_path / "src/headers/a_x.md").read_text() == page["content"] and "- function: 4" in (tmp_path / "src/introduction.md").read_text() and (tmp_path / "book.toml").exists()
     assert render.index_page(extract.entities(parsed)).count() > 3 and render.list_pages(extract.entities(parsed)).count() == 0

@@ -31,7 +31,7 @@ def test_sarif(spark):
     body = sarif.module_documents(parsed).first()["body"]
     top = json.loads(body)
     module = top["runs"][0]["properties"][MODULES_KEY][0]
-    assert module["name"] == 'd/"q".hpp' and module["functions"][0]["doc"]["params"] == [{"name": "a", "description": "The a"}] and module["classes"][0]["methods"][0]["params"] == [{"name": "s", "type": "char*"}]
+    assert module["name"] == 'd/"q".hpp' and module["functions"][0]["doc"]["params"] == [{"name": "a", "description": "The a"}] and module["classes"][0]["methods"][0]["params"] == [{"name": "s", "type": "char *"}]
     rows = spark.createDataFrame([(1, body), (2, "{"), (3, '{"runs": [{"properties": {}}]}'), (4, "[]"), (5, None), (6, body.replace('"1.0"', '"9"')), (7, '{"runs": [{"properties": {"%s": "1.0"}}]}' % VERSION_KEY)], "sarif_id long, body string")
     assert {r["sarif_id"]: r["status"] for r in sarif.statuses(rows).collect()} == {1: "ok", 2: "InvalidJson", 3: "MissingVersion", 4: "InvalidStructure", 5: "InvalidJson", 6: "UnsupportedVersion", 7: "MissingModules"}
     issues = spark.createDataFrame([("a\\b.h", 0, "f", "function", "info", "I001", 'long "brief"', None), ("b.h", 3, "g", "function", "error", "E001", "bad", None)], "file string, line int, entity_name string, entity_type string, severity string, code string, message string, suggestion string")
@@ -92,3 +92,56 @@ def test_code_actions(spark):
     issues = lint.issues(own, None, params=extract.params(p), doc_params=extract.doc_params(p))
     acts = {(r["code"], r["title"]): r["new_text"] for r in D.code_actions(issues, own, extract.params(p)).collect()}
     assert acts["W001", "Add documentation"] == "/**\n * @brief \n * @param x \n * @return \n */\n" and acts["E001", "Rename to name"] == "name" and ("W003", "Add @param name") in acts and ("W005", "Add @return") in acts
+
+
+def test_configuration_keys():
+    from marginalia.sources import config
+
+    c = config.load_string('output = "out"\nlang = "de"\ninput = ["a.h"]\ngenerate_intro = false\n[watch]\ndebounce_ms = 5\nother = 1\n[limits]\nmax_file_size = 7\nmax_include_size = "x"\n[[modules]]\nname = "m"\npatterns = ["*.h"]\n[lint]\nexclude_patterns = ["t*"]\n')
+    assert (c.output_dir, c.language, c.inputs, c.generate_intro) == ("out", "de", ["a.h"], False)
+    assert c.watch["debounce_ms"] == 5 and "other" not in c.watch and c.limits["max_file_size"] == 7 and c.limits["max_include_size"] == 1 << 20
+    assert c.modules == [("m", ["*.h"])] and c.lint.exclude == ["t*"] and config.load_string("=").watch == config.WATCH
+
+
+def test_edits_in_a_table_and_hints(spark):
+    from marginalia.streaming import documents
+
+    rows = [("u", 1, "open", "ab\ncd", None, None, None, None), ("u", 2, "change", "X", 1, 0, 1, 1), ("u", 3, "save", None, None, None, None, None), ("u", 4, "close", None, None, None, None, None), ("u", 5, "change", "no", None, None, None, None),
+            ("w", 1, "change", "no", None, None, None, None), ("w", 2, "open", None, None, None, None, None), ("w", 3, "change", "t", None, None, None, None), ("w", 4, "save", "s", None, None, None, None), ("w", 5, "save", None, None, None, None, None), (None, 1, "open", "x", None, None, None, None)]
+    got = {(r["uri"], r["seq"]): r["text"] for r in documents.states_batch(spark.createDataFrame(rows, documents.EVENTS)).collect()}
+    assert got == {("u", 1): "ab\ncd", ("u", 2): "ab\nXd", ("u", 3): "ab\nXd", ("u", 4): None, ("w", 2): "", ("w", 3): "t", ("w", 4): "s", ("w", 5): "s"}
+    texts = spark.createDataFrame([("a.h", "int used(int x);\nint lost(int y);\n")], "uri string, text string")
+    tests = spark.createDataFrame([("t.cpp", "TEST(a) { used(1); }")], "path string, content string")
+    found = documents.diagnose(texts, tests)
+    assert [(r["line"], r["message"]) for r in found.where("code = 'T001'").collect()] == [(1, "No tests for 'lost'")] and documents.at_line(found, 0).count() > 0
+
+
+def test_pages_show_members_groups_and_derived_classes(spark):
+    from pyspark.sql.functions import col as F_col
+
+    from marginalia.operators import extract, render, snippets
+
+    code = """/** @brief One. @group g All of them */
+int one(int a);
+/**
+ * @brief Two.
+ * @group g All of them
+ * @param b The b
+ */
+int two(const char *b);
+/** @brief Base. */
+class Base { public: int size; private: int hidden; };
+/** @brief Below. */
+class Below : public Base {};
+"""
+    code = code.replace("/** @brief One. @group g All of them */", "/**\n * @brief One.\n * @group g All of them\n */")
+    parsed = extract.nodes(spark.createDataFrame([("d/x.hpp", code)], "path string, content string"))
+    page = render.module_pages(parsed).first()["content"]
+    assert "### All of them" in page and "int one(int a)\nint two(const char *b)\n" in page and "### one" not in page and "- `int size`" in page and "hidden" not in page.replace("{#", "") and page.count("Base <|-- Below") == 2
+    assert render.readme(parsed).first()["content"].endswith("- d: 4 declarations in 1 files\n") and "function [`one`]" in render.module_summary(parsed).first()["content"]
+    files = spark.createDataFrame([("s.txt", "/// told\n"), ("big.txt", "x" * 50)], "path string, content string")
+    own = spark.createDataFrame([("a.h", "{{#include s.txt}}int f();", 1), ("b.h", "int g();", 2), ("c.h", "// {{#include big.txt}}", 3), ("n.h", None, 4)], "path string, content string, ord int")
+    got = {r["path"]: r["content"] for r in snippets.expand_sources(own, files).collect()}
+    assert got["a.h"] == "/// told\nint f();" and got["b.h"] == "int g();" and got["c.h"] == "// " + "x" * 50 and got["n.h"] is None
+    short = snippets.expand_includes(own.select(F_col("path").alias("text_id"), F_col("content").alias("text")), files, 20)
+    assert "Include error: big.txt" in {r["text_id"]: r["text"] for r in short.collect()}["c.h"]
