@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The pattern that divides a text before merging.
+#: Fixed: the pattern by which a byte-level tokenizer divides a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and pairs of tokens, that a worker remembers; longer words aren't kept.
 CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 200_000, 400_000, 64
@@ -36,7 +36,12 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        before = whole.get("pre_tokenizer") or {"type": "ByteLevel"}
+        # The file names the division of texts, not its pattern; another one than that of PATTERN would give other ids.
+        if before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space", False) or whole.get("normalizer"):
+            raise ValueError(f"{path}: texts are divided in another way: {before}, {whole.get('normalizer')}")
         at = byte_of_char()
         names: dict[str, int] = model["vocab"]
         special = {n for n in names if not all(c in at for c in n)}
@@ -65,8 +70,8 @@ class Vocabulary:
         # A token that merging its own bytes wouldn't give may not be proposed.
         self.sound = {t for t in self.ids.values() if rank[t] < 0}
         made_ids = np.flatnonzero(rank >= 0)
-        whole = self.beside(left[made_ids], right[made_ids], rank[made_ids])
-        ok = dict(zip(made_ids.tolist(), whole.tolist()))
+        sound = self.beside(left[made_ids], right[made_ids], rank[made_ids])
+        ok = dict(zip(made_ids.tolist(), sound.tolist()))
         for t in made_ids[np.argsort(rank[made_ids])].tolist():
             if ok[t] and int(left[t]) in self.sound and int(right[t]) in self.sound:
                 self.sound.add(t)
