@@ -30,3 +30,24 @@ def test_shared_folder(spark, tmp_path):
     assert runtime.clear(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(runtime._PATHS[0] if runtime._PATHS else before + "/none").count()
+
+
+def test_nothing_is_left_of_intermediate_tables(spark):
+    since = len(runtime._PATHS)
+    fs, at = runtime.hadoop(spark, runtime.shared_dir(spark))
+    names = lambda: {x.getPath().getName() for x in fs.listStatus(at)}
+    before = names()
+    with runtime.cleared(spark):
+        kept = runtime.materialize(spark.range(7), "kept")
+        gone = runtime.materialize(spark.range(3), "gone")
+        runtime.forget(gone)
+        assert kept.count() == 7 and len(names() - before) == 1
+    assert names() == before and len(runtime._PATHS) == since
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda *a: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)))
